@@ -109,3 +109,36 @@ def predictions(docs: DataFrame) -> DataFrame:
     other = F.element_at(labels, (F.col("doc_id") % 4 + 1).cast("int"))
     pred = F.when((F.col("doc_id") * 7919) % 10 < 7, F.col("lang")).otherwise(other)
     return docs.select("doc_id", F.col("lang").alias("label"), pred.alias("prediction"))
+
+
+# The settings of the derived fold-metrics table.
+CV_OPTIONS = ["mean", "sum"]
+CV_SIZES = [100, 300]
+CV_WINDOWS = [5, 9]
+CV_CS = [1, 10]
+CV_FOLDS = 5
+
+
+def cv_metrics(docs: DataFrame) -> DataFrame:
+    """(option, size, window, c, fold, score): per setting and fold (doc_id % 5), the accuracy
+    of a setting-dependent deterministic classifier on that fold's documents."""
+    grid = F.array(*[F.struct(F.lit(o).alias("option"), F.lit(s).alias("size"),
+                              F.lit(w).alias("window"), F.lit(c).alias("c"))
+                     for o in CV_OPTIONS for s in CV_SIZES for w in CV_WINDOWS for c in CV_CS])
+    rows = docs.select("doc_id", "lang", F.explode(grid).alias("p")).select("doc_id", "lang", "p.*")
+    key = (F.col("doc_id") * 7919 + F.col("size") * 7 + F.col("window") * 13 + F.col("c") * 3
+           + F.length("option") * 5)
+    labels = F.array(*[F.lit(l) for l in CORPUS_LABELS])
+    pred = F.when(key % 10 < 7, F.col("lang")).otherwise(F.element_at(labels, (F.col("doc_id") % 4 + 1).cast("int")))
+    hit = F.when(pred == F.col("lang"), 1.0).otherwise(0.0)
+    return rows.groupBy("option", "size", "window", "c", (F.col("doc_id") % CV_FOLDS).cast("int").alias("fold")).agg(
+        F.avg(hit).alias("score"))
+
+
+def linear_weights(toks: DataFrame, top: int = 200) -> DataFrame:
+    """(label_code, word, weight): integer weights for the ``top`` most frequent words."""
+    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    ranked = rank_by(counts, F.col("count").desc(), F.col("word").asc()).filter(F.col("rank") < top)
+    codes = F.array(*[F.lit(i) for i in range(len(CORPUS_LABELS))])
+    w = ranked.select("word", "rank", F.explode(codes).alias("label_code"))
+    return w.select("label_code", "word", ((F.col("rank") * 31 + F.col("label_code") * 17) % 101 - 50).alias("weight"))
