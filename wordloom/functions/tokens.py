@@ -14,7 +14,7 @@ from wordloom.schema import EDIT_LETTERS, STOP_WORDS
 __all__ = [
     "WORD_CLASS", "tokens_ws", "tokens_word", "tokens_word2", "treebank_text",
     "tokens_treebank", "normalize_text", "stopword_filter", "word_ngrams",
-    "char_ngrams", "char_wb_ngrams", "strip_id_suffix", "alpha_flag",
+    "char_array", "char_ngrams", "char_wb_ngrams", "strip_id_suffix", "alpha_flag",
     "edit1_variants", "TREEBANK_RULES", "treebank_sql",
 ]
 
@@ -116,7 +116,12 @@ def stopword_filter(tokens, stop_words=None) -> Column:
 
 
 def word_ngrams(tokens, lo: int, hi: int, sep: str = " ") -> Column:
-    """Word n-grams for n in lo..hi, tokens joined by ``sep``; n-major order."""
+    """Word n-grams for n in lo..hi, tokens joined by ``sep``; n-major order.
+
+    ``tokens`` should name a column computed in an earlier projection: the
+    lambda reads it once per n-gram, and an inlined tokenizer expression would
+    be re-run for every position.
+    """
     t = _col(tokens)
     n_tok = F.size(t)
 
@@ -130,10 +135,15 @@ def word_ngrams(tokens, lo: int, hi: int, sep: str = " ") -> Column:
     return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
 
 
-def char_ngrams(text, lo: int, hi: int) -> Column:
-    """Character n-grams across word borders; whitespace runs of two or more become one space."""
-    t = F.regexp_replace(F.lower(_col(text)), r"\s\s+", " ")
-    chars = F.split(t, "")
+def char_array(text) -> Column:
+    """T8 input: characters of the lower-cased text, runs of two or more whitespace as one space."""
+    return F.split(F.regexp_replace(F.lower(_col(text)), r"\s\s+", " "), "")
+
+
+def char_ngrams(chars, lo: int, hi: int) -> Column:
+    """Character n-grams across word borders from a ``char_array`` column (see word_ngrams
+    on passing a computed column)."""
+    chars = _col(chars)
     n_chr = F.size(chars)
 
     def grams(n):

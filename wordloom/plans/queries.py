@@ -94,8 +94,8 @@ def _ngram_stats(term_tf, min_df):
 
 
 def _word_ngram_tf(spark, sf_dir, lo, hi):
-    d = by_doc(docs(spark, sf_dir))
-    grams = T.word_ngrams(T.tokens_word2(T.treebank_text("text")), lo, hi)
+    d = by_doc(docs(spark, sf_dir)).select("doc_id", T.tokens_word2(T.treebank_text("text")).alias("toks"))
+    grams = T.word_ngrams("toks", lo, hi)
     return (d.select("doc_id", F.explode(grams).alias("term"))
              .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
@@ -129,8 +129,8 @@ FROM (SELECT doc_id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM
 SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10""",
     extra={"grams": _CHAR_SQL.format(lo=2, hi=10)}))
 def t8_char_ngrams(spark, sf_dir):
-    d = by_doc(docs(spark, sf_dir))
-    tf = (d.select("doc_id", F.explode(T.char_ngrams("text", 2, 10)).alias("term"))
+    d = by_doc(docs(spark, sf_dir)).select("doc_id", T.char_array("text").alias("chars"))
+    tf = (d.select("doc_id", F.explode(T.char_ngrams("chars", 2, 10)).alias("term"))
            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     return _ngram_stats(tf, 10)
 
