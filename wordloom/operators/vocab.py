@@ -6,7 +6,7 @@ then ``count(*)`` over those rows, never ``count(distinct)`` over tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.operators.ranking import rank_by, top_k
@@ -84,3 +84,20 @@ def vocabulary_rank(counts: DataFrame, min_count: int, term: str = "word",
     """Terms with count >= min_count ranked by (count desc, term) from 0."""
     kept = counts.filter(F.col(count_col) >= min_count)
     return rank_by(kept, F.col(count_col).desc(), F.col(term).asc(), rank_col="rank")
+
+
+def char_ngram_counts(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", chars: str = "chars") -> DataFrame:
+    """T8 counted: (doc, term, tf) for character n-grams lo..hi across word borders.
+
+    One row per character position; the following ``hi - 1`` characters come
+    from ``lead`` over the document's positions (the table is partitioned by
+    document, so the window sorts locally and never shuffles), and the n-grams
+    are prefixes of that short string.  No per-position rescans of the text.
+    """
+    pos = docs.select(doc, F.posexplode(chars).alias("pos", "ch"))
+    w = Window.partitionBy(doc).orderBy("pos")
+    follow = [F.lead("ch", k).over(w) for k in range(1, hi)]
+    win = pos.select(doc, F.concat_ws("", F.col("ch"), *follow).alias("win"))
+    grams = win.select(doc, F.explode(F.array(*[
+        F.when(F.length("win") >= n, F.substring("win", 1, n)) for n in range(lo, hi + 1)])).alias("term"))
+    return grams.filter(F.col("term").isNotNull()).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))

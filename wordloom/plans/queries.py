@@ -120,19 +120,23 @@ def t7_word_ngrams(spark, sf_dir):
 
 
 _CHAR_SQL = """
-SELECT d.doc_id, substring(d.t, r.i + 1, n.n) AS term
-FROM (SELECT doc_id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM documents) d,
-     unnest(range({lo}, {hi} + 1)) AS n(n), unnest(range(greatest(length(d.t) - n.n + 1, 0))) AS r(i)"""
+SELECT doc_id, term FROM (
+  SELECT doc_id, n.n, CASE WHEN length(win) >= n.n THEN left(win, n.n) END AS term
+  FROM (SELECT doc_id, ch || coalesce(string_agg(ch, '') OVER (PARTITION BY doc_id ORDER BY pos
+                                                   ROWS BETWEEN 1 FOLLOWING AND {follow} FOLLOWING), '') AS win
+        FROM (SELECT d.doc_id, r.i AS pos, d.c[r.i + 1] AS ch
+              FROM (SELECT doc_id, string_split(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '') AS c FROM documents) d,
+                   unnest(range(len(d.c))) AS r(i))) w,
+       unnest(range({lo}, {hi} + 1)) AS n(n))
+WHERE term IS NOT NULL"""
 
 
 @register("t8_char_ngrams", with_sql(["grams"], """
 SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10""",
-    extra={"grams": _CHAR_SQL.format(lo=2, hi=10)}))
+    extra={"grams": _CHAR_SQL.format(lo=2, hi=10, follow=9)}))
 def t8_char_ngrams(spark, sf_dir):
     d = by_doc(docs(spark, sf_dir)).select("doc_id", T.char_array("text").alias("chars"))
-    tf = (d.select("doc_id", F.explode(T.char_ngrams("chars", 2, 10)).alias("term"))
-           .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return _ngram_stats(tf, 10)
+    return _ngram_stats(vocab.char_ngram_counts(d, 2, 10), 10)
 
 
 _CHAR_WB_SQL = """
