@@ -1 +1,184 @@
-"""Model fitting and scoring queries."""
+"""Model fitting and scoring queries.
+
+Dense labelled features are ``embeddings`` (embedding, label), split by
+``vec_id % 10`` (0-7 train, 8 dev, 9 test); text models use ``documents``.
+Grids are small here so the checks stay quick; the original sweeps are the
+named constants in ``wordloom.schema``.  Only A17 has a SQL oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from wordloom.functions import tokens as T
+from wordloom.operators import classify as C
+from wordloom.operators import vectors as V
+from wordloom.operators.tokens import by_doc, explode_tokens, term_counts
+from wordloom.plans import fixtures as fx
+from wordloom.plans.queries import docs, r4, register
+from wordloom.schema import CORPUS_LABELS
+from wordloom.session import scratch_path, table
+from wordloom.sources import writers as K
+
+DIM = 64
+
+
+def _dense(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").cast("double").alias("label_code"),
+                    array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
+                    fx.split_of("vec_id").alias("split"),
+                    F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
+
+
+def _predictions(model, df):
+    return model.transform(df).select("vec_id", "split", F.col("label_code").cast("int").alias("label"),
+                                      F.col("prediction").cast("int").alias("prediction"))
+
+
+@register("a17_min_max_scale", """
+WITH e AS (SELECT vec_id, u.i::INT AS dim, embedding[u.i + 1]::DOUBLE AS x
+           FROM embeddings, unnest(range(len(embedding))) AS u(i)),
+     r AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM e WHERE vec_id % 10 < 8 GROUP BY dim)
+SELECT e.vec_id, e.dim, round(CASE WHEN r.hi = r.lo THEN 0.0 ELSE (e.x - r.lo) / (r.hi - r.lo) END, 4) + 0.0 AS value
+FROM e JOIN r USING (dim)""")
+def a17_min_max_scale(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    model = C.ZeroRangeMinMaxScaler(inputCol="features", outputCol="scaled").fit(d.filter(F.col("split") == "train"))
+    out = model.transform(d).select("vec_id", vector_to_array("scaled").alias("v"))
+    return out.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("int").alias("dim"), r4("value").alias("value"))
+
+
+@register("m6_logistic_regression")
+def m6_logistic_regression(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    model = C.logistic_regression(0.1, train.count()).fit(train)
+    return _predictions(model, d.filter(F.col("split") != "train"))
+
+
+@register("m8_linear_svm")
+def m8_linear_svm(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    model = C.linear_svm(1.0, train.count(), max_iter=30).fit(train)
+    return _predictions(model, d.filter(F.col("split") != "train"))
+
+
+@register("m9_rbf_svm")
+def m9_rbf_svm(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    scaler = C.ZeroRangeMinMaxScaler(inputCol="features", outputCol="scaled")
+    pipe = Pipeline(stages=[scaler, C.rbf_svm(1.0, 10.0, train.count(), DIM, features="scaled", num_rff=128)])
+    return _predictions(pipe.fit(train), d.filter(F.col("split") != "train"))
+
+
+@register("m10_svm_grid_cv")
+def m10_svm_grid_cv(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    train = d.filter(F.col("split") == "train").cache()
+    metrics = C.svm_grid_cv(train, DIM, gammas=[1.0], cs=[1.0, 10.0], num_folds=3, num_rff=64)
+    train.unpersist()
+    return metrics.groupBy("kernel", "gamma", "c").agg(F.avg("score").alias("mean_score"),
+                                                       F.stddev_pop("score").alias("std_score"))
+
+
+@register("m11_random_forest_grid_cv")
+def m11_random_forest_grid_cv(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    cv = C.random_forest_grid_cv(d.filter(F.col("split") == "train"), trees=[5, 10], num_folds=4)
+    return _predictions(cv.bestModel, d.filter(F.col("split") != "train"))
+
+
+@register("m12_parameter_sweep")
+def m12_parameter_sweep(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    return C.parameter_sweep(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"), DIM,
+                             gammas=[0.1, 1.0], cs=[1.0, 10.0], num_rff=64)
+
+
+@register("k7_save_model")
+def k7_save_model(spark, sf_dir):
+    d = _dense(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    pipe = Pipeline(stages=[C.ZeroRangeMinMaxScaler(inputCol="features", outputCol="scaled"),
+                            C.logistic_regression(0.1, train.count(), features="scaled")])
+    path = K.save_model(pipe.fit(train), scratch_path(spark, "models"), "mean", DIM, 5)
+    return _predictions(PipelineModel.load(path), d.filter(F.col("split") != "train"))
+
+
+def _labelled_docs(spark, sf_dir):
+    m = F.create_map(*[x for i, l in enumerate(CORPUS_LABELS) for x in (F.lit(l), F.lit(float(i)))])
+    return docs(spark, sf_dir).select("doc_id", "text", m[F.col("lang")].alias("label_code"),
+                                      fx.split_of().alias("split"))
+
+
+@register("m7_ngram_pipeline")
+def m7_ngram_pipeline(spark, sf_dir):
+    """Word n-grams 1..3 -> CountVectorizer (df >= 10) -> logistic regression; dev and test scored."""
+    d = by_doc(_labelled_docs(spark, sf_dir)).withColumn("toks", T.tokens_word2(T.treebank_text("text")))
+    train = d.filter(F.col("split") == "train")
+    stages = [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in (1, 2, 3)]
+    stages.append(SQLTransformer(statement="SELECT *, concat(g1, g2, g3) AS grams FROM __THIS__"))
+    stages.append(CountVectorizer(inputCol="grams", outputCol="counts", minDF=10, vocabSize=100_000))
+    stages.append(C.logistic_regression(0.1, train.count(), features="counts", max_iter=50))
+    model = Pipeline(stages=stages).fit(train)
+    return model.transform(d.filter(F.col("split") != "train")).select(
+        "doc_id", "split", F.col("label_code").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def _doc_tf(spark, sf_dir):
+    toks = fx.tokens(docs(spark, sf_dir))
+    return toks, term_counts(toks)
+
+
+def _w2v(toks_df, size, window, split_filter=None, seed=42, name="w2v"):
+    arr = toks_df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("p"))
+    arr = arr.select("doc_id", F.transform("p", lambda x: x["word"]).alias("words"))
+    if split_filter is not None:
+        arr = arr.filter(split_filter)
+    model = V.train_word_vectors(arr, size, window, min_count=5, max_iter=1, seed=seed)
+    return V.word_vector_table(model, name)
+
+
+@register("m1_train_word_vectors")
+def m1_train_word_vectors(spark, sf_dir):
+    toks, _ = _doc_tf(spark, sf_dir)
+    vec = _w2v(toks, 16, 5, F.col("doc_id") % 10 < 8)
+    return vec.select("word", F.size("embedding").alias("n_dims"),
+                      r4(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+
+
+@register("m3_doc_vectors")
+def m3_doc_vectors(spark, sf_dir):
+    toks, tf = _doc_tf(spark, sf_dir)
+    vec = _w2v(toks, 16, 5, F.col("doc_id") % 10 < 8)
+    neg = V.negative_pool(tf, vec, 64)
+    out = V.infer_doc_vectors(tf, vec, 16, neg, epochs=20)
+    return out.select("doc_id", fx.split_of().alias("split"), F.size("features").alias("n_dims"))
+
+
+@register("m4_doc_vectors_transductive")
+def m4_doc_vectors_transductive(spark, sf_dir):
+    """Vectors fitted on train ∪ test, every document inferred, read back by split."""
+    toks, tf = _doc_tf(spark, sf_dir)
+    vec = _w2v(toks, 16, 5, None, name="w2v_all")
+    neg = V.negative_pool(tf, vec, 64)
+    out = V.infer_doc_vectors(tf, vec, 16, neg, epochs=20).withColumn("split", fx.split_of())
+    return out.filter(F.col("split") != "train").select("doc_id", "split", F.size("features").alias("n_dims"))
+
+
+@register("m5_doc_vectors_per_label")
+def m5_doc_vectors_per_label(spark, sf_dir):
+    toks, tf = _doc_tf(spark, sf_dir)
+    vecs, negs = {}, {}
+    for label in CORPUS_LABELS:
+        vecs[label] = _w2v(toks.filter(F.col("lang") == label), 8, 5, name=f"w2v_{label}")
+        negs[label] = V.negative_pool(tf, vecs[label], 32)
+    out = V.doc_vectors_per_label(tf, vecs, 8, negs, epochs=10)
+    return out.select("doc_id", F.size("features").alias("n_dims"))
