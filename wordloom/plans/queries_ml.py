@@ -74,7 +74,7 @@ def m9_rbf_svm(spark, sf_dir):
     d = _dense(spark, sf_dir)
     train = d.filter(F.col("split") == "train")
     scaler = C.ZeroRangeMinMaxScaler(inputCol="features", outputCol="scaled")
-    pipe = Pipeline(stages=[scaler, C.rbf_svm(1.0, 10.0, train.count(), DIM, features="scaled", num_rff=128)])
+    pipe = Pipeline(stages=[scaler, C.rbf_svm(1.0, 10.0, train.count(), DIM, features="scaled", num_rff=128, max_iter=20)])
     return _predictions(pipe.fit(train), d.filter(F.col("split") != "train"))
 
 
@@ -82,7 +82,7 @@ def m9_rbf_svm(spark, sf_dir):
 def m10_svm_grid_cv(spark, sf_dir):
     d = _dense(spark, sf_dir)
     train = d.filter(F.col("split") == "train").cache()
-    metrics = C.svm_grid_cv(train, DIM, gammas=[1.0], cs=[1.0, 10.0], num_folds=3, num_rff=64)
+    metrics = C.svm_grid_cv(train, DIM, gammas=[1.0], cs=[1.0, 10.0], num_folds=3, num_rff=64, max_iter=10)
     train.unpersist()
     return metrics.groupBy("kernel", "gamma", "c").agg(F.avg("score").alias("mean_score"),
                                                        F.stddev_pop("score").alias("std_score"))
@@ -99,7 +99,7 @@ def m11_random_forest_grid_cv(spark, sf_dir):
 def m12_parameter_sweep(spark, sf_dir):
     d = _dense(spark, sf_dir)
     return C.parameter_sweep(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"), DIM,
-                             gammas=[0.1, 1.0], cs=[1.0, 10.0], num_rff=64)
+                             gammas=[0.1, 1.0], cs=[1.0, 10.0], num_rff=64, max_iter=10)
 
 
 @register("k7_save_model")
