@@ -17,6 +17,17 @@ def by_doc(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.repartition(key)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that has fewer partitions than the cluster has task slots.
+
+    Small inputs (a few parquet row groups) would otherwise tokenise on a few
+    cores.  A large input already has far more partitions than slots, and is
+    left as it is: no shuffle is added at scale.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def explode_tokens(docs: DataFrame, tokens: Column, keep=("doc_id",),
                    pos_col: str = "pos", word_col: str = "word") -> DataFrame:
     """One row per token: ``keep`` columns, 0-based ``pos`` (int), ``word``."""

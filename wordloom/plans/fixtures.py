@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import tokens_word, tokens_ws
 from wordloom.operators.ranking import materialize, rank_by
-from wordloom.operators.tokens import by_doc, explode_tokens
+from wordloom.operators.tokens import by_doc, explode_tokens, spread
 from wordloom.schema import CORPUS_LABELS
 from wordloom.session import table
 
@@ -40,16 +40,23 @@ def split_of(id_col="doc_id"):
     return F.when(r < 8, "train").when(r == 8, "dev").otherwise("test")
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, pos, word): unicode word runs of lower(text), partitioned by doc."""
-    return explode_tokens(by_doc(docs.select("doc_id", "lang", "text")),
-                          tokens_word(F.lower("text")), keep=("doc_id", "lang"))
+def _docs(docs: DataFrame, by_document: bool) -> DataFrame:
+    d = docs.select("doc_id", "lang", "text")
+    return by_doc(d) if by_document else spread(d)
 
 
-def ws_tokens(docs: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame, by_document: bool = True) -> DataFrame:
+    """(doc_id, lang, pos, word): unicode word runs of lower(text).
+
+    ``by_document`` hash-partitions documents first (for per-document steps);
+    corpus-wide word counts do not need it and skip that shuffle.
+    """
+    return explode_tokens(_docs(docs, by_document), tokens_word(F.lower("text")), keep=("doc_id", "lang"))
+
+
+def ws_tokens(docs: DataFrame, by_document: bool = True) -> DataFrame:
     """(doc_id, lang, pos, word): whitespace tokens, case kept."""
-    return explode_tokens(by_doc(docs.select("doc_id", "lang", "text")),
-                          tokens_ws("text"), keep=("doc_id", "lang"))
+    return explode_tokens(_docs(docs, by_document), tokens_ws("text"), keep=("doc_id", "lang"))
 
 
 def ranked_words(toks: DataFrame, min_count: int) -> DataFrame:
@@ -60,7 +67,7 @@ def ranked_words(toks: DataFrame, min_count: int) -> DataFrame:
 
 def word_vectors(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
     """(word, embedding): word of rank r gets the embedding with vec_id = r."""
-    toks = toks if toks is not None else tokens(documents(spark, sf_dir))
+    toks = toks if toks is not None else tokens(documents(spark, sf_dir), by_document=False)
     ranked = ranked_words(toks, WORD_VECTOR_MIN_COUNT)
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rank"), "embedding")
     return materialize(ranked.join(emb, "rank").select("word", "embedding"), "word_vectors")
@@ -68,7 +75,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None
 
 def context_vectors(spark: SparkSession, sf_dir: str, w: int, toks: DataFrame | None = None) -> DataFrame:
     """(offset, word, embedding) for offsets -w/2..w/2 without 0 (position-specific vectors)."""
-    toks = toks if toks is not None else ws_tokens(documents(spark, sf_dir))
+    toks = toks if toks is not None else ws_tokens(documents(spark, sf_dir), by_document=False)
     emb = table(spark, sf_dir, "embeddings")
     n = emb.select(F.count(F.lit(1))).scalar()
     ranked = ranked_words(toks, WORD_VECTOR_MIN_COUNT).filter(F.col("rank") < n)

@@ -312,9 +312,8 @@ def w3_vocabulary_rank(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _hits(spark, sf_dir):
-    toks = fx.tokens(docs(spark, sf_dir))
-    vectors = fx.word_vectors(spark, sf_dir, toks)
-    tf = term_counts(toks)
+    vectors = fx.word_vectors(spark, sf_dir)
+    tf = term_counts(fx.tokens(docs(spark, sf_dir)))
     return tf, vectors
 
 
@@ -394,8 +393,8 @@ def j6_weight_join(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _ctx(spark, sf_dir, w):
-    toks = fx.ws_tokens(docs(spark, sf_dir))
-    return toks, fx.context_vectors(spark, sf_dir, w, toks)
+    vectors = fx.context_vectors(spark, sf_dir, w)
+    return fx.ws_tokens(docs(spark, sf_dir)), vectors
 
 
 @register("w1_context_window", with_sql(["ws_tokens"], """

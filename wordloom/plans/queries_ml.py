@@ -8,6 +8,7 @@ named constants in ``wordloom.schema``.  Only A17 has a SQL oracle.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -121,7 +122,10 @@ def _labelled_docs(spark, sf_dir):
 @register("m7_ngram_pipeline")
 def m7_ngram_pipeline(spark, sf_dir):
     """Word n-grams 1..3 -> CountVectorizer (df >= 10) -> logistic regression; dev and test scored."""
-    d = by_doc(_labelled_docs(spark, sf_dir)).withColumn("toks", T.tokens_word2(T.treebank_text("text")))
+    d = by_doc(_labelled_docs(spark, sf_dir)).select(
+        "doc_id", "split", "label_code", T.tokens_word2(T.treebank_text("text")).alias("toks"))
+    # every pipeline stage re-reads its input: tokenise once (spills to disk when large)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
     train = d.filter(F.col("split") == "train")
     stages = [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in (1, 2, 3)]
     stages.append(SQLTransformer(statement="SELECT *, concat(g1, g2, g3) AS grams FROM __THIS__"))

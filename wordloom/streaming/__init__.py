@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original tool reads closed files only; it has no stream, watermark or
+stateful operator, so none is built here.  Every batch operator in
+``wordloom.operators`` is a DataFrame -> DataFrame function, so a fitted
+pipeline can be applied to a Structured Streaming source unchanged when that
+is needed.
+"""
