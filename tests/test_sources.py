@@ -90,3 +90,18 @@ def test_per_label_partition_pruned(spark, tmp_out):
     q = spark.read.text(p).filter(F.col("label") == "A")
     assert "PartitionFilters: [isnotnull(label" in q._jdf.queryExecution().executedPlan().toString()
     assert [r.value for r in q.collect()] == ["x y"]
+
+
+def test_line_numbers_across_many_splits_and_files(spark, tmp_out):
+    p = tmp_out("many")
+    spark.createDataFrame([(f"line {i:05d}",) for i in range(3000)], "value string") \
+        .repartitionByRange(3, "value").write.mode("overwrite").text(p)   # 3 files, in order
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")        # many splits per file
+    try:
+        lines = spark.read.text(p)
+        assert lines.rdd.getNumPartitions() > 6
+        rows = S.line_numbers(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.line, r.value) for r in rows) == [(i, f"line {i:05d}") for i in range(3000)]

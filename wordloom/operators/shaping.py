@@ -11,9 +11,12 @@ from wordloom.schema import NATIVE_LANGUAGES
 
 
 def flatten_by_label(corpus: DataFrame) -> DataFrame:
-    """Drop the prompt level, key (label, id); on a repeated id the highest prompt wins."""
-    w = Window.partitionBy("label", "id").orderBy(F.col("prompt").desc())
-    return corpus.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("label", "id", "text")
+    """Drop the prompt level, key (label, id); on a repeated id the highest prompt wins.
+
+    An aggregate (``max_by``) rather than a window: it combines map-side, so a
+    key repeated on a large share of the rows never lands whole in one task.
+    """
+    return corpus.groupBy("label", "id").agg(F.max_by("text", "prompt").alias("text"))
 
 
 def count_by_label(corpus: DataFrame, label: str = "label") -> DataFrame:
@@ -27,9 +30,14 @@ def count_by_label_prompt(corpus: DataFrame, label: str = "label", prompt: str =
 
 
 def dedup_key(corpus: DataFrame, key=("label", "prompt", "id"), order: str = "line") -> DataFrame:
-    """One row per key; the row with the highest ``order`` (the last line) wins."""
-    w = Window.partitionBy(*key).orderBy(F.col(order).desc())
-    return corpus.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    """One row per key; the row with the highest ``order`` (the last line) wins.
+
+    ``max_by`` over a struct of the other columns, partially aggregated before
+    the shuffle: a key shared by many rows (exact copies) costs one row per task.
+    """
+    rest = [c for c in corpus.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.col(order)).alias("__best")
+    return corpus.groupBy(*key).agg(best).select(*key, "__best.*")
 
 
 def encode_label(df: DataFrame, labels=None, label: str = "label", out: str = "label_code",

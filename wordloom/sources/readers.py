@@ -7,11 +7,10 @@ expressions; no Python touches a line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import tokens_ws
-from wordloom.operators.ranking import rank_by
 from wordloom.schema import HEADER_MARKERS
 
 __all__ = ["read_corpus", "read_corpus_quoted", "read_label_slice", "read_dense_csv",
@@ -80,17 +79,24 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int) -> DataFrame:
 def line_numbers(lines: DataFrame, col: str = "line", file_col: str | None = None) -> DataFrame:
     """0-based line number of each row of a file read, in (file path, offset) order.
 
-    ``lines`` must be a file scan (it reads ``_metadata``).  Computed distributedly
-    (partition-local index + prefix sum over partitions), never by collecting lines.
-    ``file_col`` keeps the file path under that name.
+    ``lines`` must be a file scan (it reads ``_metadata``).  Rows of one file
+    split arrive in file order with consecutive partition-local ids, so only the
+    splits need ordering: rows are counted per (file, split start), a prefix sum
+    over the splits (one row per split, broadcast) gives each split's first line,
+    and a row's line is that plus its distance from the split's first id.  The
+    lines themselves are never sorted or shuffled.  ``file_col`` keeps the path.
     """
     tagged = lines.select("*", F.col("_metadata.file_path").alias("__f"),
                           F.col("_metadata.file_block_start").alias("__b"),
                           F.monotonically_increasing_id().alias("__m"))
-    ranked = rank_by(tagged, F.col("__f"), F.col("__b"), F.col("__m"), rank_col=col)
+    splits = tagged.groupBy("__f", "__b").agg(F.min("__m").alias("__m0"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__f", "__b", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    out = tagged.join(F.broadcast(offsets), ["__f", "__b"])
+    out = out.withColumn(col, F.col("__off") + F.col("__m") - F.col("__m0"))
     if file_col:
-        ranked = ranked.withColumnRenamed("__f", file_col)
-    return ranked.drop("__f", "__b", "__m")
+        out = out.withColumnRenamed("__f", file_col)
+    return out.drop("__f", "__b", "__m", "__m0", "__off")
 
 
 def read_lines_tagged(spark: SparkSession, path: str) -> DataFrame:
