@@ -120,3 +120,24 @@ def test_score_linear_argmax_ties_to_smaller_label(spark):
     counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1)], "doc_id long, word string, tf long")
     w = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (2, "a", -1)], "label_code int, word string, weight long")
     assert evaluate.score_linear(counts, w).first().prediction == 0
+
+
+def test_dense_sums_equal_summarizer(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, f"w{k}", int(1 + (d * k) % 4), float(rng.random()), rng.normal(size=6).astype(float).tolist())
+            for d in range(30) for k in range(d % 7 + 1)]
+    hits = spark.createDataFrame(rows, "doc_id long, word string, tf long, tfidf double, vector array<double>")
+    for how in ("mean", "sum", "std", "tfidf"):
+        a = {r.doc_id: r.features for r in pooling.pool(hits, how).collect()}
+        b = {r.doc_id: r.features for r in pooling.pool(hits, how, dim=6).collect()}
+        assert a.keys() == b.keys()
+        assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+def test_word_ngram_counts_match_array_form(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["x"])], "doc_id long, toks array<string>")
+    got = {(r.doc_id, r.term): r.tf for r in vocab.word_ngram_counts(df, 1, 3).collect()}
+    want = {}
+    for r in df.select("doc_id", F.explode(T.word_ngrams("toks", 1, 3)).alias("t")).collect():
+        want[(r.doc_id, r.t)] = want.get((r.doc_id, r.t), 0) + 1
+    assert got == want

@@ -95,9 +95,7 @@ def _ngram_stats(term_tf, min_df):
 
 def _word_ngram_tf(spark, sf_dir, lo, hi):
     d = by_doc(docs(spark, sf_dir)).select("doc_id", T.tokens_word2(T.treebank_text("text")).alias("toks"))
-    grams = T.word_ngrams("toks", lo, hi)
-    return (d.select("doc_id", F.explode(grams).alias("term"))
-             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return vocab.word_ngram_counts(d, lo, hi)
 
 
 _T3_TOKS = f"""
@@ -327,14 +325,16 @@ GROUP BY t.doc_id, u.i"""
                                    _POOL_SQL.format(agg="avg(v.embedding[u.i + 1]::DOUBLE)")))
 def a8_pool_mean(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "mean"))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "mean",
+                                          dim=pooling.vector_dim(vectors)))
 
 
 @register("a9_pool_sum", with_sql(["tokens", "word_vectors"],
                                   _POOL_SQL.format(agg="sum(v.embedding[u.i + 1]::DOUBLE)")))
 def a9_pool_sum(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "sum"))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "sum",
+                                          dim=pooling.vector_dim(vectors)))
 
 
 @register("a10_pool_mean_std", with_sql(["tokens", "word_vectors"], """
@@ -345,7 +345,8 @@ FROM tokens t JOIN word_vectors v USING (word), unnest(range(len(v.embedding)))
 GROUP BY t.doc_id, u.i, k.k, len(v.embedding)"""))
 def a10_pool_mean_std(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "std"))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "std",
+                                          dim=pooling.vector_dim(vectors)))
 
 
 @register("a11_pool_tfidf", with_sql(["tokens", "tf", "n_docs", "idf", "tfidf", "word_vectors"], """
@@ -357,7 +358,8 @@ def a11_pool_tfidf(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
     weights = vocab.tfidf(tf, _idf(spark, sf_dir, tf))
     joined = pooling.weight_join(tf, weights)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(joined, vectors), "tfidf", weight="tfidf"))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(joined, vectors), "tfidf", weight="tfidf",
+                                          dim=pooling.vector_dim(vectors)))
 
 
 @register("j1_lookup_vectors", with_sql(["tokens", "tf", "word_vectors"], """
