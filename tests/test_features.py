@@ -133,11 +133,3 @@ def test_dense_sums_equal_summarizer(spark):
         assert a.keys() == b.keys()
         assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
 
-
-def test_word_ngram_counts_match_array_form(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, ["x"])], "doc_id long, toks array<string>")
-    got = {(r.doc_id, r.term): r.tf for r in vocab.word_ngram_counts(df, 1, 3).collect()}
-    want = {}
-    for r in df.select("doc_id", F.explode(T.word_ngrams("toks", 1, 3)).alias("t")).collect():
-        want[(r.doc_id, r.t)] = want.get((r.doc_id, r.t), 0) + 1
-    assert got == want

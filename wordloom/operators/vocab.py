@@ -102,19 +102,3 @@ def char_ngram_counts(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", ch
         F.when(F.length("win") >= n, F.substring("win", 1, n)) for n in range(lo, hi + 1)])).alias("term"))
     return grams.filter(F.col("term").isNotNull()).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
-
-def word_ngram_counts(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", toks: str = "toks",
-                      sep: str = " ") -> DataFrame:
-    """T7 counted: (doc, term, tf) for word n-grams lo..hi of a token-array column.
-
-    One row per token position with the next ``hi - 1`` tokens from ``lead``
-    inside the document (partitioned by document: local sort, no shuffle); an
-    n-gram exists where its last token does.
-    """
-    pos = docs.select(doc, F.posexplode(toks).alias("pos", "w0"))
-    w = Window.partitionBy(doc).orderBy("pos")
-    follow = pos.select(doc, "w0", *[F.lead("w0", k).over(w).alias(f"w{k}") for k in range(1, hi)])
-    grams = [F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(sep, *[F.col(f"w{k}") for k in range(n)]))
-             for n in range(lo, hi + 1)]
-    out = follow.select(doc, F.explode(F.array(*grams)).alias("term")).filter(F.col("term").isNotNull())
-    return out.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))

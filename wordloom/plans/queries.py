@@ -95,7 +95,8 @@ def _ngram_stats(term_tf, min_df):
 
 def _word_ngram_tf(spark, sf_dir, lo, hi):
     d = by_doc(docs(spark, sf_dir)).select("doc_id", T.tokens_word2(T.treebank_text("text")).alias("toks"))
-    return vocab.word_ngram_counts(d, lo, hi)
+    return (d.select("doc_id", F.explode(T.word_ngrams("toks", lo, hi)).alias("term"))
+             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 _T3_TOKS = f"""
