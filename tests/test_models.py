@@ -50,3 +50,14 @@ def test_doc_vector_inference_partition_invariant_and_seeded(spark):
     assert a == run(5)
     assert a != run(1, seed=9)
     assert all(len(v) == 4 for v in a.values())
+
+
+def test_doc_vectors_per_label_concatenates_in_label_order(spark):
+    tf = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "c", 1)], "doc_id long, word string, tf long")
+    va = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, embedding array<double>")
+    vb = spark.createDataFrame([("c", [1.0, 1.0])], "word string, embedding array<double>")
+    neg = {"A": np.zeros((0, 2)), "B": np.zeros((0, 2))}
+    out = {r.doc_id: r.features for r in V.doc_vectors_per_label(tf, {"A": va, "B": vb}, 2, neg, epochs=3).collect()}
+    assert set(out) == {1, 2} and all(len(v) == 4 for v in out.values())
+    assert out[1][2:] == [0.0, 0.0]          # doc 1 has no word in B's space
+    assert out[2][:2] == [0.0, 0.0]          # doc 2 has no word in A's space

@@ -22,12 +22,16 @@ from wordloom.operators.ranking import materialize, rank_by
 
 def train_word_vectors(tokens_arr: DataFrame, size: int, window: int, min_count: int = 5,
                        max_iter: int = 1, seed: int = 42, col: str = "words",
-                       num_partitions: int = 1, max_sentence_length: int = 100_000):
+                       num_partitions: int | None = None, max_sentence_length: int = 100_000):
     """M1: fit Spark ML Word2Vec on an array-of-words column.
 
+    Training runs on ``num_partitions`` tasks (default: the session's
+    parallelism; Spark averages the partition models after each pass).
     ``max_sentence_length`` is set explicitly: Spark's default (1,000) would
     cut long documents.  Returns the fitted model.
     """
+    if num_partitions is None:
+        num_partitions = tokens_arr.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,
                    inputCol=col, outputCol="__w2v", numPartitions=num_partitions,
                    maxSentenceLength=max_sentence_length)
@@ -54,26 +58,32 @@ def negative_pool(tf: DataFrame, vectors: DataFrame, k: int, seed: int = 42) ->
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
-def _infer_fn(dim: int, negatives: np.ndarray, epochs: int, lr: float, neg_per_word: int, seed: int):
+def _infer_fn(dim: int, negatives, epochs: int, lr: float, neg_per_word: int, seed: int):
+    """Per-group inference; ``negatives`` is one array, or a dict by model id (column ``model``)."""
     def infer(pdf: pd.DataFrame) -> pd.DataFrame:
         doc = int(pdf["doc_id"].iloc[0])
-        rng = np.random.default_rng([seed, doc & 0x7FFFFFFF, doc >> 31])
+        model = int(pdf["model"].iloc[0]) if "model" in pdf else 0
+        neg = negatives[model] if isinstance(negatives, dict) else negatives
+        rng = np.random.default_rng([seed, model, doc & 0x7FFFFFFF, doc >> 31])
         order = np.argsort(pdf["word"].to_numpy())           # row order inside a group is not fixed
         v = np.stack(pdf["embedding"].to_numpy()[order]).astype(np.float64)
         tf = pdf["tf"].to_numpy()[order].astype(np.float64)
         d = (rng.random(dim) - 0.5) / dim
-        n_neg = len(negatives)
+        n_neg = len(neg)
         for e in range(epochs):
             alpha = lr * (1.0 - e / max(epochs, 1)) + 1e-4
             s = 1.0 / (1.0 + np.exp(-(v @ d)))
             grad = ((1.0 - s) * tf) @ v
             if n_neg:
                 idx = rng.integers(0, n_neg, size=max(1, int(neg_per_word * tf.sum())))
-                u = negatives[idx]
+                u = neg[idx]
                 sn = 1.0 / (1.0 + np.exp(-(u @ d)))
                 grad -= sn @ u
             d = d + alpha * grad / max(tf.sum(), 1.0)
-        return pd.DataFrame({"doc_id": [doc], "features": [d.tolist()]})
+        out = {"doc_id": [doc], "features": [d.tolist()]}
+        if "model" in pdf:
+            out["model"] = [model]
+        return pd.DataFrame(out)
     return infer
 
 
@@ -90,18 +100,24 @@ def infer_doc_vectors(tf: DataFrame, vectors: DataFrame, dim: int, negatives: np
 
 
 def doc_vectors_per_label(tf: DataFrame, label_vectors: dict, dim: int, negatives: dict, epochs: int = 10,
-                          seed: int = 0) -> DataFrame:
-    """M5: every document inferred against each label's word vectors; vectors concatenated in
-    the order of ``label_vectors`` (k × dim values).  Documents missing from any label's
-    space get zeros there."""
-    parts = []
-    for i, (label, vec) in enumerate(label_vectors.items()):
-        inf = infer_doc_vectors(tf, vec, dim, negatives[label], epochs=epochs, seed=seed)
-        parts.append(inf.withColumn("model", F.lit(i)))
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
-    k = len(label_vectors)
+                          lr: float = 0.5, neg_per_word: int = 5, seed: int = 0) -> DataFrame:
+    """M5: every document inferred against each label's word vectors in one pass; vectors
+    concatenated in the order of ``label_vectors`` (k × dim values).  A document with no
+    known word in some label's space gets zeros there.
+
+    The label vector tables are stacked with a ``model`` column and joined to the
+    term counts once; groups are (document, model).
+    """
+    labels = list(label_vectors)
+    stacked = None
+    for i, label in enumerate(labels):
+        part = label_vectors[label].select(F.lit(i).alias("model"), "word", "embedding")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    rows = tf.join(stacked, "word").select("doc_id", "model", "word", "tf", "embedding")
+    negs = {i: negatives[label] for i, label in enumerate(labels)}
+    fn = _infer_fn(dim, negs, epochs, lr, neg_per_word, seed)
+    allv = rows.groupBy("doc_id", "model").applyInPandas(fn, "doc_id long, features array<double>, model int")
+    k = len(labels)
     zeros = F.array_repeat(F.lit(0.0), dim)
     g = allv.groupBy("doc_id").agg(F.collect_list(F.struct("model", "features")).alias("parts"))  # k entries
     slots = [F.coalesce(F.try_element_at(F.filter("parts", lambda p, i=i: p["model"] == i), F.lit(1))["features"], zeros)
