@@ -120,6 +120,9 @@ def doc_vectors_per_label(tf: DataFrame, label_vectors: dict, dim: int, negative
     k = len(labels)
     zeros = F.array_repeat(F.lit(0.0), dim)
     g = allv.groupBy("doc_id").agg(F.collect_list(F.struct("model", "features")).alias("parts"))  # k entries
-    slots = [F.coalesce(F.try_element_at(F.filter("parts", lambda p, i=i: p["model"] == i), F.lit(1))["features"], zeros)
+    def of_model(i):
+        return lambda p: p["model"] == F.lit(i)   # one-argument lambda: a second one would be the index
+
+    slots = [F.coalesce(F.try_element_at(F.filter("parts", of_model(i)), F.lit(1))["features"], zeros)
              for i in range(k)]
     return g.select("doc_id", F.concat(*slots).alias("features"))
