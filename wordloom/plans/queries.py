@@ -659,6 +659,20 @@ def e3_classification_report(spark, sf_dir):
     return rep.select("label", *[r4(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@register("e3_report_averages", with_sql(["predictions", "rep"], """
+SELECT round(avg(precision), 4) + 0.0 AS macro_precision, round(avg(recall), 4) + 0.0 AS macro_recall,
+       round(avg(f1), 4) + 0.0 AS macro_f1,
+       round(sum(precision * support) / sum(support), 4) + 0.0 AS weighted_precision,
+       round(sum(recall * support) / sum(support), 4) + 0.0 AS weighted_recall,
+       round(sum(f1 * support) / sum(support), 4) + 0.0 AS weighted_f1, sum(support)::BIGINT AS support
+FROM (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM rep)""",
+    extra={"rep": _REPORT_SQL}))
+def e3_report_averages(spark, sf_dir):
+    avg = evaluate.report_averages(evaluate.classification_report(fx.predictions(docs(spark, sf_dir))))
+    cols = ["macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1"]
+    return avg.select(*[r4(c).alias(c) for c in cols], F.col("support").cast("long").alias("support"))
+
+
 @register("e2_macro_f1", with_sql(["predictions", "rep"], """
 SELECT round(avg(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0)), 4) + 0.0 AS macro_f1,
        count(*)::BIGINT AS n_classes FROM rep""", extra={"rep": _REPORT_SQL}))
