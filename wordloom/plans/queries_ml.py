@@ -8,16 +8,13 @@ named constants in ``wordloom.schema``.  Only A17 has a SQL oracle.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizer, NGram, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from wordloom.functions import tokens as T
 from wordloom.operators import classify as C
 from wordloom.operators import vectors as V
-from wordloom.operators.tokens import by_doc, explode_tokens, term_counts
+from wordloom.operators.tokens import term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
 from wordloom.schema import CORPUS_LABELS
@@ -113,27 +110,13 @@ def k7_save_model(spark, sf_dir):
     return _predictions(PipelineModel.load(path), d.filter(F.col("split") != "train"))
 
 
-def _labelled_docs(spark, sf_dir):
-    m = F.create_map(*[x for i, l in enumerate(CORPUS_LABELS) for x in (F.lit(l), F.lit(float(i)))])
-    return docs(spark, sf_dir).select("doc_id", "text", m[F.col("lang")].alias("label_code"),
-                                      fx.split_of().alias("split"))
-
-
 @register("m7_ngram_pipeline")
 def m7_ngram_pipeline(spark, sf_dir):
-    """Word n-grams 1..3 -> CountVectorizer (df >= 10) -> logistic regression; dev and test scored."""
-    d = by_doc(_labelled_docs(spark, sf_dir)).select(
-        "doc_id", "split", "label_code", T.tokens_word2(T.treebank_text("text")).alias("toks"))
-    # every pipeline stage re-reads its input: tokenise once (spills to disk when large)
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    train = d.filter(F.col("split") == "train")
-    stages = [NGram(n=n, inputCol="toks", outputCol=f"g{n}") for n in (1, 2, 3)]
-    stages.append(SQLTransformer(statement="SELECT *, concat(g1, g2, g3) AS grams FROM __THIS__"))
-    stages.append(CountVectorizer(inputCol="grams", outputCol="counts", minDF=10, vocabSize=100_000))
-    stages.append(C.logistic_regression(0.1, train.count(), features="counts", max_iter=50))
-    model = Pipeline(stages=stages).fit(train)
-    return model.transform(d.filter(F.col("split") != "train")).select(
-        "doc_id", "split", F.col("label_code").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    """Word n-grams 1..3 -> counts over the A15 vocabulary (df >= 10) -> logistic regression;
+    dev and test scored."""
+    from wordloom.plans.pipelines import ngram_classification
+    d = docs(spark, sf_dir).withColumn("split", fx.split_of())
+    return ngram_classification(d, 1, 3, min_df=10, vocab_size=100_000, c=0.1, max_iter=50)
 
 
 def _doc_tf(spark, sf_dir):
