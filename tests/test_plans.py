@@ -32,3 +32,13 @@ def test_context_plan_single_shuffle(spark):
     p = plan(context.context_doc_vectors(toks, vec, 2, "sum"))
     assert len(re.findall(r"Exchange hashpartitioning", p)) == 1
     assert "BroadcastHashJoin" in p
+
+
+def test_bucketed_corpus_needs_no_shuffle(spark, tmp_out):
+    from wordloom.sources.writers import write_bucketed_corpus
+    t = write_bucketed_corpus(docs(spark), "wl_bucketed_docs", tmp_out("bucketed"), 4)
+    toks = explode_tokens(by_doc(t), T.tokens_word("text"))
+    vec = materialize(spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "word string, embedding array<float>"), "v2")
+    p = plan(pooling.pool(pooling.lookup_vectors(term_counts(toks), vec), "mean", dim=1))
+    assert "Exchange hashpartitioning" not in p
+    assert len(pooling.pool(pooling.lookup_vectors(term_counts(toks), vec), "mean", dim=1).collect()) == 20

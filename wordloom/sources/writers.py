@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import strip_id_suffix
 
-__all__ = ["write_dense_csv", "write_libsvm", "write_predictions", "write_prediction_label",
+__all__ = ["write_bucketed_corpus", "write_dense_csv", "write_libsvm", "write_predictions", "write_prediction_label",
            "write_per_label", "write_corpus", "save_model", "write_scored", "one_line",
            "write_context_embeddings"]
 
@@ -21,6 +21,18 @@ def one_line(c):
     return F.regexp_replace(c, r"[\r\n]", " ")
 
 
+def write_bucketed_corpus(df: DataFrame, table_name: str, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+    """Store a corpus bucketed (and sorted) by ``key`` as an external table at ``path``.
+
+    Reading the table back gives scans already hash-partitioned by ``key``, so
+    every per-document pipeline runs without any shuffle.  ``buckets`` should
+    be sized so a bucket fits a task (e.g. total text bytes / 256 MB).
+    """
+    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+       .saveAsTable(table_name))
+    return df.sparkSession.table(table_name)
+
+
 def write_dense_csv(df: DataFrame, path: str, label: str = "label_code", features: str = "features",
                     order=()) -> None:
     """K1: ``label,v1,...,vn,`` per row (trailing comma); rows in ``order`` if given."""
