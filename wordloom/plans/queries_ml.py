@@ -17,7 +17,7 @@ from wordloom.operators import vectors as V
 from wordloom.operators.tokens import term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
-from wordloom.schema import CORPUS_LABELS
+from wordloom.schema import CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF, WORD_NGRAM_RANGES
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
 
@@ -116,7 +116,9 @@ def m7_ngram_pipeline(spark, sf_dir):
     dev and test scored."""
     from wordloom.plans.pipelines import ngram_classification
     d = docs(spark, sf_dir).withColumn("split", fx.split_of())
-    return ngram_classification(d, 1, 3, min_df=10, vocab_size=100_000, c=0.1, max_iter=50)
+    lo, hi = WORD_NGRAM_RANGES["uni_to_tri"]
+    return ngram_classification(d, lo, hi, min_df=NGRAM_MIN_DF, vocab_size=NGRAM_GROUP_CAPS["uni_to_tri"],
+                                c=0.1, max_iter=50)
 
 
 def _doc_tf(spark, sf_dir):

@@ -41,6 +41,12 @@ WORD_NGRAM_RANGES = {
 CHAR_NGRAM_RANGE = (2, 10)
 NGRAM_MIN_DF = 10
 NGRAM_VOCAB_CAPS = (100_000, 200_000, 300_000)
+# Vocabulary cap per feature group (char = character n-grams, char_wb = inside words).
+NGRAM_GROUP_CAPS = {
+    "unigram": 100_000, "bigram": 100_000, "trigram": 100_000, "fourgram": 100_000,
+    "fivegram": 100_000, "uni_to_tri": 200_000, "tri_to_five": 300_000,
+    "char": 100_000, "char_wb": 100_000,
+}
 
 # Classifier grids of the original sweeps.
 SVM_GAMMAS = [1.0, 1e-1, 1e-3, 1e-5, 1e-7, 1e-9]
