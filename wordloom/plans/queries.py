@@ -18,7 +18,7 @@ from wordloom.operators import annotate, context, evaluate, pooling, shaping, vo
 from wordloom.operators.tokens import by_doc, explode_tokens, term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.oracle import WORD_RE, WS_LIST, context_cte, explode_sql, tb_list, treebank_sql, with_sql
-from wordloom.schema import CORPUS_LABELS
+from wordloom.schema import CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,10 +112,11 @@ def _ngram_sql(lo, hi):
 
 
 @register("t7_word_ngrams", with_sql(["t3", "grams"], """
-SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 2""",
+SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10""",
     extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 3)}))
 def t7_word_ngrams(spark, sf_dir):
-    return _ngram_stats(_word_ngram_tf(spark, sf_dir, 1, 3), 2)
+    """Word n-grams 1..3 with their corpus count and document frequency (df >= 10, the vectorisers' min_df)."""
+    return _ngram_stats(_word_ngram_tf(spark, sf_dir, 1, 3), NGRAM_MIN_DF)
 
 
 _CHAR_SQL = """
@@ -135,7 +136,7 @@ SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FRO
     extra={"grams": _CHAR_SQL.format(lo=2, hi=10, follow=9)}))
 def t8_char_ngrams(spark, sf_dir):
     d = by_doc(docs(spark, sf_dir)).select("doc_id", T.char_array("text").alias("chars"))
-    return _ngram_stats(vocab.char_ngram_counts(d, 2, 10), 10)
+    return _ngram_stats(vocab.char_ngram_counts(d, 2, 10), NGRAM_MIN_DF)
 
 
 _CHAR_WB_SQL = """
@@ -146,7 +147,8 @@ FROM (SELECT doc_id, ' ' || x || ' ' AS p
 
 
 @register("t9_char_wb_ngrams", with_sql(["grams"], """
-SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term""",
+SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term
+HAVING count(DISTINCT doc_id) >= 10""",
     extra={"grams": _CHAR_WB_SQL}))
 def t9_char_wb_ngrams(spark, sf_dir):
     """Counted per distinct (doc, word) first, then multiplied by the word's tf."""
@@ -155,7 +157,7 @@ def t9_char_wb_ngrams(spark, sf_dir):
     wtf = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("wtf"))
     grams = wtf.select("doc_id", "wtf", F.explode(T.char_wb_ngrams("word", 2, 10)).alias("term"))
     tf = grams.groupBy("doc_id", "term").agg(F.sum("wtf").alias("tf"))
-    return _ngram_stats(tf, 1)
+    return _ngram_stats(tf, NGRAM_MIN_DF)
 
 
 @register("t10_strip_id_suffix", """
@@ -276,13 +278,14 @@ SELECT term, count, df, term_id FROM (
   SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df,
          row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_id
   FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10)
-WHERE term_id < 2000""", extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 3)})
+WHERE term_id < 200000""", extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 3)})
 
 
 @register("a15_vocabulary_topk", _T3_NGRAM_TOPK)
 def a15_vocabulary_topk(spark, sf_dir):
-    """Word n-grams 1..3, df >= 10, top 2,000 by corpus count."""
-    return vocab.vocabulary_topk(_word_ngram_tf(spark, sf_dir, 1, 3), 2000, min_df=10)
+    """Word n-grams 1..3, df >= 10, top 200,000 by corpus count (the 1..3 group's cap)."""
+    return vocab.vocabulary_topk(_word_ngram_tf(spark, sf_dir, 1, 3), NGRAM_GROUP_CAPS["uni_to_tri"],
+                                 min_df=NGRAM_MIN_DF)
 
 
 @register("a16_ngram_counts", with_sql(["t3", "grams", "vocab"], """
@@ -290,10 +293,10 @@ SELECT g.doc_id, g.term, count(*)::BIGINT AS tf, v.term_id FROM grams g JOIN voc
 GROUP BY g.doc_id, g.term, v.term_id""", extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 3), "vocab": """
 SELECT term, term_id FROM (
   SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_id
-  FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10) WHERE term_id < 2000"""}))
+  FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10) WHERE term_id < 200000"""}))
 def a16_ngram_counts(spark, sf_dir):
     tf = _word_ngram_tf(spark, sf_dir, 1, 3)
-    voc = vocab.vocabulary_topk(tf, 2000, min_df=10)
+    voc = vocab.vocabulary_topk(tf, NGRAM_GROUP_CAPS["uni_to_tri"], min_df=NGRAM_MIN_DF)
     return vocab.ngram_counts(tf, voc)
 
 
