@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.operators.ranking import materialize, rank_by
+from wordloom.operators.ranking import materialize
 
 
 def train_word_vectors(tokens_arr: DataFrame, size: int, window: int, min_count: int = 5,
@@ -47,14 +47,13 @@ def negative_pool(tf: DataFrame, vectors: DataFrame, k: int, seed: int = 42) ->
     """A fixed sample of ``k`` word vectors for negative sampling, drawn with probability
     ∝ count^0.75 by the exponential-race method (smallest -ln(u)/weight wins).
 
-    The sample is a top-k over the vocabulary, computed by Spark; only the k
-    chosen vectors (k × dim, fixed by the parameter) reach the driver.
+    The sample is a top-k over the vocabulary (each task keeps at most k rows,
+    k is a small parameter); only the k chosen vectors (k × dim) reach the driver.
     """
     counts = tf.groupBy("word").agg(F.sum("tf").alias("count"))
     u = (F.xxhash64(F.col("word"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(1)) / F.lit(float(1 << 52) + 2.0)
     keyed = counts.join(vectors, "word").withColumn("race", -F.log(u) / F.pow(F.col("count"), 0.75))
-    top = rank_by(keyed, F.col("race").asc(), F.col("word").asc(), rank_col="r").filter(F.col("r") < k)
-    rows = top.select("embedding").collect()
+    rows = keyed.orderBy(F.col("race").asc(), F.col("word").asc()).limit(k).select("embedding").collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
