@@ -42,3 +42,12 @@ def test_bucketed_corpus_needs_no_shuffle(spark, tmp_out):
     p = plan(pooling.pool(pooling.lookup_vectors(term_counts(toks), vec), "mean", dim=1))
     assert "Exchange hashpartitioning" not in p
     assert len(pooling.pool(pooling.lookup_vectors(term_counts(toks), vec), "mean", dim=1).collect()) == 20
+
+
+def test_spread_only_repartitions_small_inputs(spark):
+    from wordloom.operators.tokens import spread
+    slots = spark.sparkContext.defaultParallelism
+    big = spark.range(0, 1000, numPartitions=slots * 2)
+    assert spread(big) is big                                  # enough partitions: untouched, no shuffle
+    small = spark.range(0, 1000, numPartitions=1)
+    assert spread(small).rdd.getNumPartitions() == slots
