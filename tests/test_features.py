@@ -133,3 +133,8 @@ def test_dense_sums_equal_summarizer(spark):
         assert a.keys() == b.keys()
         assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
 
+
+
+def test_rank_by_empty_table(spark):
+    empty = spark.createDataFrame([], "c long, w string")
+    assert rank_by(empty, F.col("c").desc(), F.col("w")).count() == 0
