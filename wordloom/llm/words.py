@@ -81,3 +81,18 @@ def batches(texts: list, most: int = 4 << 20):
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def word_blocks(data: bytes, size: int = 4 << 20):
+    """Lists of the words of one text, so many bytes of it at a time; no word is cut."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            tail = data[end:end + 4096]
+            while end + len(tail) < len(data) and not tail.split(None, 1)[1:] and not tail[:1].isspace():
+                tail = data[end:end + 2 * len(tail)]  # a very long word
+            cut = next((i for i, b in enumerate(tail) if b == 32 or 9 <= b <= 13), len(tail))
+            end += cut
+        yield data[at:end].split()
+        at = end
