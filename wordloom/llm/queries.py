@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import exact_dedup, packing, simhash
+from wordloom.llm import exact_dedup, language_id, packing, simhash
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,11 @@ def op2_exact_dedup(spark, sf_dir):
 @register("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(language_id.held_out(), F.lit(False)))
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
