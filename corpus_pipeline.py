@@ -8,28 +8,52 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wordloom.llm import exact_dedup, packing
+from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash
 from wordloom.operators.ranking import materialize
 from wordloom.session import table
 
+MIN_LANGUAGE_SHARE = 0.5    # of a text's letters that one language must label
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one language labels most letters; text without a letter goes."""
+    seen = F.coalesce(~language_id.held_out(), F.lit(True))
+    found = language_id.identify(docs, language_id.train(docs.filter(seen)), spans=False)
+    kept = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SHARE)
+    return found.filter(kept).select(*docs.columns)
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.survivors(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest doc_id stays."""
+    return simhash.survivors(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document gets its place in a sequence."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("language ID", keep_identified),
     ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack_sequences),
 ]
 
-# Packing needs a tokenizer, which SQL cannot express.
+# Language models, fingerprints and tokenizers are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import exact_dedup, language_id, packing, simhash
+from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,15 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+@register("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    """One row per contaminated document and item: the longest verified stretch of words."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("words", "matches", F.negative("doc_start").alias("at"))).alias("best")).select(
+        "doc_id", "item_id", F.negative("best.at").alias("doc_start"), "best.words", "best.matches")
+
+
 @register("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
