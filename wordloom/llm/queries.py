@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,23 @@ def op3_decontamination(spark, sf_dir):
         "doc_id", "item_id", F.negative("best.at").alias("doc_start"), "best.words", "best.matches")
 
 
+@register("op5_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq
+           FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+gone AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY seq) AS least FROM starts)
+         WHERE least < doc_id),
+covered AS (SELECT DISTINCT doc_id, i + k AS i FROM gone, unnest(range(13)) AS t(k)),
+words AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+         FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op5_substring_dedup(spark, sf_dir):
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
