@@ -17,7 +17,7 @@ empty result.  Only the id and text columns are read.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ SEQUENCE = 1024
 END_ID = 2
 OPEN_BINS = 512             # open bins of a packing task
 PIECES_PER_TASK = 32_768    # pieces shorter than a sequence that a task packs, about
-CACHED_WORDS = 300_000      # a tokenising task forgets its cache beyond this many pre-tokens
+CACHED_WORDS = 1_000_000    # a tokenising process forgets its cache beyond this many pre-tokens
 
 # Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -50,8 +50,15 @@ def _latin_split():
                       rf"|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(rest)}
+
+
 class TokenCache(dict):
-    """Pre-token -> its ids; a miss is tokenised on its own, which the vocabulary's pattern allows."""
+    """Pre-token -> its ids as little-endian bytes; a miss is tokenised on its own, as the vocabulary's pattern allows."""
 
     def __init__(self, tokenizer_path: str | None):
         import re
@@ -61,20 +68,26 @@ class TokenCache(dict):
         if tokenizer_path is None:
             import public_tokenizers
             tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the model alone: texts are split here, and strings of special tokens are ordinary text
+        self.tokenize, self.letters = Tokenizer.from_file(tokenizer_path).model.tokenize, byte_letters()
         self.beyond, self.latin, self.any = re.compile("[^\x00-ɏ]"), _latin_split(), regex.compile(SPLIT)
 
     def __missing__(self, word: str):
-        ids = self[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        spelt = word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
         return ids
 
     def ids(self, text: str, end_id: int) -> np.ndarray:
         if len(self) > CACHED_WORDS:
             self.clear()
         words = (self.any if self.beyond.search(text) else self.latin).findall(text)
-        found = np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.dtype("<u4"))
-        return np.append(found, np.array([end_id], "<u4"))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little"), "<u4")
+
+
+@lru_cache(maxsize=2)
+def token_cache(tokenizer_path: str | None) -> TokenCache:
+    """The cache of this process; later tasks of a reused worker go on with it."""
+    return TokenCache(tokenizer_path)
 
 
 def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
@@ -95,7 +108,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
 
     def run(batches):
         import pyarrow as pa
-        cache = TokenCache(tokenizer_path)
+        cache = token_cache(tokenizer_path)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
