@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup
+from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, warc
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,27 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _base32_sql(hex_digits: str) -> str:
+    """SQL of the base32 letters of 40 hex digits: five digits are four letters."""
+    letters = []
+    for at in range(1, 41, 5):
+        bits = f"CAST('0x' || substr({hex_digits}, {at}, 5) AS INTEGER)"
+        letters += [f"substr('{warc.BASE32}', (({bits} >> {s}) & 31) + 1, 1)" for s in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+@register("op7_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least
+           FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_base32_sql('sha1(html)')} AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM p""")
+def op7_warc(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op9_language_id")
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn(
