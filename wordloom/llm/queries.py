@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, warc
+from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op9_language_id(spark, sf_dir):
         "held_out", F.coalesce(language_id.held_out(), F.lit(False)))
     model = language_id.train(docs.filter(~F.col("held_out")))
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model, spans=False).drop("text")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    model = toxicity.fit(docs, labels, ["low_quality", "toxic"])
+    return toxicity.predict(docs, model).drop("text")
