@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
+from wordloom.llm import chat, decontaminate, exact_dedup, language_id, license_scan, packing, simhash, substring_dedup, toxicity, warc
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,34 @@ def op3_decontamination(spark, sf_dir):
         "doc_id", "item_id", F.negative("best.at").alias("doc_start"), "best.words", "best.matches")
 
 
+#: The tool that the turns of ``conversations`` are read as calls of.
+REPLY = """{"type":"object","additionalProperties":false,"required":["prompt","chars"],"properties":{
+"prompt":{"type":"string"},"chars":{"type":"integer","minimum":1,"maximum":2000},"context":{"type":"string"}}}"""
+
+
+def conversation_messages(conversations: DataFrame) -> DataFrame:
+    """Every user turn as a call of ``reply``, every assistant turn as the result of the turn before it.
+
+    A call's arguments are the turn's text, its length, and the result of the
+    call two turns earlier.
+    """
+    name = lambda turn: F.concat_ws("-", "conv_id", turn)
+    before = F.when(F.col("turn") >= 2, F.struct(name(F.col("turn") - 2).alias("$result")))
+    user = F.col("role") == "user"
+    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"),
+                                   F.length(F.coalesce("text", F.lit(""))).alias("chars"), before.alias("context")))
+    return conversations.select(
+        "conv_id", "turn", "role", F.when(~user, F.col("text")).alias("text"),
+        F.when(user, name("turn")).when(F.col("role") == "assistant", name(F.col("turn") - 1)).alias("call_id"),
+        F.when(user, "reply").alias("tool"), F.when(user, arguments).alias("arguments"))
+
+
+@register("op4_chat_formatting")
+def op4_chat_formatting(spark, sf_dir):
+    tools = spark.createDataFrame([("reply", REPLY)], "tool string, schema string")
+    return chat.link(conversation_messages(table(spark, sf_dir, "conversations")), tools)
+
+
 @register("op5_substring_dedup", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq
@@ -92,6 +120,16 @@ def op7_warc(spark, sf_dir):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@register("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    """Documents as files: the digits of a doc_id but the last are directories below the source."""
+    digits = F.regexp_replace(F.col("doc_id").cast("string"), "([0-9])(?=[0-9])", "$1/")
+    folder = F.regexp_extract(digits, "^(.*)/[0-9]$", 1)
+    path = F.concat(F.col("source"), F.when(folder == "", "").otherwise(F.concat(F.lit("/"), folder)), F.lit("/"), "doc_id", F.lit(".txt"))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.scan(files, license_scan.template_table(spark))
+
+
 @register("op9_language_id")
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn(
