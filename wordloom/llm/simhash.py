@@ -232,8 +232,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
               radius: int = RADIUS) -> DataFrame:
     """The rows that stay: of each component the one with the smallest id (then row hash)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    kept = component_table(rows, radius).select("k1", "k2").distinct()
+    kept = component_table(rows, radius).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
     named = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), F.col(text_col)),
                               "__k2": F.hash(F.col(text_col), F.col(id_col))})
-    stay = named.join(kept, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
-    return stay.dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    stay = named.join(kept, ["__k1", "__k2"], "left_semi")
+    return stay.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
