@@ -4,9 +4,13 @@ A spaced seed looks at a window of words and ignores some positions, so it still
 matches where a passage had words substituted there.  Each fixed mask hashes
 every window of the benchmark items and of the documents; equal hashes are hits.
 Around a hit the document and the item are laid side by side, word by word, and
-the best-scoring aligned stretch is taken (a match adds, a substitution costs).
-A document is contaminated if a stretch has at least ``min_words`` words, or the
-whole of a shorter item, and at least ``identity`` of its words match.
+the longest aligned stretch is taken in which at least ``identity`` of the words
+match.  A document is contaminated if it has at least ``min_words`` words, or if
+it holds the whole of a shorter item without a change.
+
+The masks find every such stretch: with 13 words or more, a fifth of them
+substituted at most, wherever they stand, one of the masks has all its places on
+matching words (a test goes through all patterns).
 
 Words are runs of letters and digits in lower case.  The benchmark is the query
 set: it is dealt into blocks of a checked size, and every block meets every
@@ -15,7 +19,7 @@ that matches many items, or an item that is in a third of all documents, is
 nothing but a few more rows.
 
 Defined cases: null or empty texts and items have no windows and match nothing;
-an item with fewer words than the shortest window is matched as a whole.  Two
+an item with fewer than ``min_words`` words is matched as a whole.  Two
 rows with one id are examined each.  Ties between stretches go to the earlier
 one.  Null item ids are reported as null.  An empty benchmark finds nothing.
 """
@@ -29,8 +33,8 @@ from pyspark.sql import types as T
 
 from wordloom.llm.words import LETTERS, batches as slices, mix, word_hashes
 
-# Masks over 12 words: 1 is looked at, 0 ignored.
-MASKS = ("110110011011", "111001101011", "101111000111", "111111110000")
+# 1: the word is looked at, 0: it is ignored.
+MASKS = ("111111", "1110111", "1111011", "1101111", "1111101", "11101011")
 MIN_WORDS = 13
 IDENTITY = 0.8
 BLOCK_BYTES = 16 << 20      # benchmark text that is held in a task at a time
@@ -54,22 +58,21 @@ def seed_hashes(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
-def masks_for(n: int) -> list[tuple[int, str]]:
+def masks_for(n: int, min_words: int) -> list[tuple[int, str]]:
     """(salt, mask) that an item of ``n`` words is looked up by; a short item by all its words."""
-    span = len(MASKS[0])
-    return [(i + 1, m) for i, m in enumerate(MASKS)] if n >= span else [(100 + n, "1" * n)] if n else []
+    return [(i + 1, m) for i, m in enumerate(MASKS)] if n >= min_words else [(100 + n, "1" * n)] if n else []
 
 
 class Seeds:
     """The seeds of one block of items, sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[bytes]):
+    def __init__(self, ids: list, texts: list[bytes], min_words: int):
         words, first, *_ = word_hashes(texts) if texts else (np.empty(0, np.uint64), np.zeros(1, int))
         self.ids, self.words, self.first = ids, words, first
         parts, self.masks = [], {}
         for i in range(len(texts)):
             own = words[first[i]: first[i + 1]]
-            for salt, mask in masks_for(len(own)):
+            for salt, mask in masks_for(len(own), min_words):
                 h = seed_hashes(own, mask, salt)
                 parts.append((h, np.full(len(h), i), np.arange(len(h))))
                 self.masks[salt] = mask
@@ -93,13 +96,13 @@ class Seeds:
                 yield np.repeat(at, n), self.item[k], self.at[k]
 
 
-def best_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
-    """[from, to) of the aligned words with the largest score; a score of zero or more has the identity."""
-    score = np.where(equal, 1 - identity, -identity)
-    total = np.concatenate(([0.0], np.cumsum(score)))
+def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
+    """[from, to) of the longest run of aligned words that has the identity; the first of equally long ones."""
+    total = np.concatenate(([0.0], np.cumsum(np.where(equal, 1 - identity, -identity))))
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    return int(np.argmin(total[: end + 1])), end
+    start = np.searchsorted(-low, -total - 1e-9)    # for each end the first start from which the score is not negative
+    end = int(np.argmax(np.arange(len(total)) - start))
+    return int(start[end]), end
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -127,8 +130,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             own = seeds.words[seeds.first[item]: seeds.first[item + 1]]
             a, b = max(0, -shift), min(len(own), len(doc) - shift)
             equal = own[a:b] == doc[a + shift: b + shift]
-            s, e = best_stretch(equal, identity)
-            if e - s >= min(min_words, len(own)):
+            s, e = longest_stretch(equal, identity)
+            if e - s >= min_words or len(own) < min_words and len(equal) == len(own) and equal.all():
                 out.append((item, a + s + shift, a + s, e - s, int(equal[s:e].sum())))
         return out
 
@@ -139,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches, held=held):
             import pyarrow as pa
-            seeds = Seeds([i for i, _ in held.value], [t for _, t in held.value])
+            seeds = Seeds([i for i, _ in held.value], [t for _, t in held.value], min_words)
             item_type = pa.array(seeds.ids).type if seeds.ids else pa.int64()
             for batch in batches:
                 row, rest = [], []
