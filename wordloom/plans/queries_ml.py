@@ -2,8 +2,8 @@
 
 Dense labelled features are ``embeddings`` (embedding, label), split by
 ``vec_id % 10`` (0-7 train, 8 dev, 9 test); text models use ``documents``.
-Grids are small here so the checks stay quick; the original sweeps are the
-named constants in ``wordloom.schema``.  Only A17 has a SQL oracle.
+Grids are the named constants of ``wordloom.schema``.  A17 and the folds of M10
+have a SQL oracle.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from wordloom.operators import classify as C
+from wordloom.operators import svm
 from wordloom.operators import vectors as V
+from wordloom.operators.ranking import materialize
 from wordloom.operators.tokens import term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
-from wordloom.schema import CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF, WORD_NGRAM_RANGES
+from wordloom.schema import (CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
+                             SWEEP_CS, SWEEP_GAMMAS, WORD_NGRAM_RANGES)
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
 
 DIM = 64
+CLASSES = 10    # labels 0..9 of ``embeddings``
 
 
 def _dense(spark, sf_dir):
@@ -29,7 +33,7 @@ def _dense(spark, sf_dir):
     return e.select("vec_id", F.col("label").cast("double").alias("label_code"),
                     array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
                     fx.split_of("vec_id").alias("split"),
-                    F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
+                    F.pmod(F.floor(F.col("vec_id") / 10), F.lit(5)).cast("int").alias("fold"))
 
 
 def _predictions(model, df):
@@ -59,45 +63,74 @@ def m6_logistic_regression(spark, sf_dir):
     return _predictions(model, d.filter(F.col("split") != "train"))
 
 
+def _svm_rows(spark, sf_dir):
+    return svm.training_rows(_dense(spark, sf_dir), "features", "label_code", "fold", keep=("vec_id", "split"))
+
+
+def _svm_predictions(rows, grid):
+    return svm.predict(rows, grid).select("vec_id", "split", F.col("y").alias("label"), "prediction")
+
+
 @register("m8_linear_svm")
 def m8_linear_svm(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    train = d.filter(F.col("split") == "train")
-    model = C.linear_svm(1.0, train.count(), max_iter=30).fit(train)
-    return _predictions(model, d.filter(F.col("split") != "train"))
+    """Train, dev and test rows with the prediction of a linear SVM fitted on train."""
+    d = _svm_rows(spark, sf_dir)
+    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "linear", 0.0, 1.0, NUM_RFF))
 
 
 @register("m9_rbf_svm")
 def m9_rbf_svm(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    train = d.filter(F.col("split") == "train")
-    scaler = C.ZeroRangeMinMaxScaler(inputCol="features", outputCol="scaled")
-    pipe = Pipeline(stages=[scaler, C.rbf_svm(1.0, 10.0, train.count(), DIM, features="scaled", num_rff=128, max_iter=20)])
-    return _predictions(pipe.fit(train), d.filter(F.col("split") != "train"))
+    d = _svm_rows(spark, sf_dir)
+    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "rbf", 1.0, 10.0, NUM_RFF))
+
+
+@register("m10_folds", """
+WITH t AS (SELECT vec_id // 10 % 5 AS fold FROM embeddings WHERE vec_id % 10 < 8)
+SELECT fold::INT AS fold, count(*)::BIGINT AS n_held_out, (SELECT count(*) FROM t)::BIGINT - count(*)::BIGINT AS n_fitted
+FROM t GROUP BY fold""")
+def m10_folds(spark, sf_dir):
+    """Rows that each fold holds out and rows that its models are fitted on."""
+    train = _svm_rows(spark, sf_dir).filter("split = 'train'")
+    total = train.select(F.count(F.lit(1)).alias("total"))
+    per = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_held_out"))
+    return per.join(F.broadcast(total)).select("fold", "n_held_out", (F.col("total") - F.col("n_held_out")).alias("n_fitted"))
 
 
 @register("m10_svm_grid_cv")
 def m10_svm_grid_cv(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    train = d.filter(F.col("split") == "train").cache()
-    metrics = C.svm_grid_cv(train, DIM, gammas=[1.0], cs=[1.0, 10.0], num_folds=3, num_rff=64, max_iter=10)
-    train.unpersist()
-    return metrics.groupBy("kernel", "gamma", "c").agg(F.avg("score").alias("mean_score"),
-                                                       F.stddev_pop("score").alias("std_score"))
+    """35 settings x 5 folds, then the best setting refitted on all training rows: its accuracy on train, dev and test."""
+    d = _svm_rows(spark, sf_dir)
+    train = d.filter("split = 'train'")
+    cv = materialize(svm.grid_cv(train, DIM, CLASSES, SVM_GAMMAS, SVM_CS, NUM_RFF), "svm-grid")
+    best = svm.best_setting(cv)
+    setting = {c: best[c] for c in ("kernel", "gamma", "c")}
+    found = svm.predict(d, svm.refit(train, DIM, CLASSES, **setting, num_rff=NUM_RFF))
+    again = found.groupBy(F.col("split").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
+    again = again.select(*[F.lit(v).alias(c) for c, v in setting.items()], F.concat(F.lit("refit "), "part").alias("part"), "n", "accuracy")
+    return cv.select("kernel", "gamma", "c", F.concat(F.lit("fold "), "fold").alias("part"), "n", "accuracy").unionByName(again)
 
 
 @register("m11_random_forest_grid_cv")
 def m11_random_forest_grid_cv(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    cv = C.random_forest_grid_cv(d.filter(F.col("split") == "train"), trees=[5, 10], num_folds=4)
-    return _predictions(cv.bestModel, d.filter(F.col("split") != "train"))
+    """4 numbers of trees x 4 folds, then the best number refitted on all training rows: its accuracy on train, dev and test."""
+    d = _dense(spark, sf_dir).withColumn("fold", F.pmod(F.floor(F.col("vec_id") / 10), F.lit(4)).cast("int"))
+    train = d.filter("split = 'train'")
+    cv = materialize(C.random_forest_grid_cv(train, RF_TREES, CLASSES), "forest-grid")
+    best = cv.groupBy("n_trees").agg(F.avg("accuracy").alias("a")).orderBy(F.col("a").desc(), "n_trees").first()["n_trees"]
+    models = C.fit_forests(train, C.forest_blocks([t for t in RF_TREES if t <= best]), CLASSES)
+    voted = C.forest_votes(d, models).select("split", (F.element_at("votes", -1) == F.col("label_code")).cast("double").alias("right"))
+    again = voted.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy"))
+    again = again.select(F.lit(best).alias("n_trees"), F.concat(F.lit("refit "), "split").alias("part"), "n", "accuracy")
+    return cv.select("n_trees", F.concat(F.lit("fold "), "fold").alias("part"), "n", "accuracy").unionByName(again)
 
 
 @register("m12_parameter_sweep")
 def m12_parameter_sweep(spark, sf_dir):
-    d = _dense(spark, sf_dir)
-    return C.parameter_sweep(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "dev"), DIM,
-                             gammas=[0.1, 1.0], cs=[1.0, 10.0], num_rff=64, max_iter=10)
+    """24 settings (6 gammas x 4 Cs), accuracy on train and dev."""
+    d = _svm_rows(spark, sf_dir)
+    parts = {p: d.filter(F.col("split") == p) for p in ("train", "dev")}
+    return svm.sweep(parts["train"], parts, DIM, CLASSES, SWEEP_GAMMAS, SWEEP_CS, NUM_RFF)
 
 
 @register("k7_save_model")

@@ -56,6 +56,10 @@ SWEEP_GAMMAS = [1.0, 0.1, 0.01, 0.001, 0.0001, 0.000001]
 SWEEP_COEF0 = [0.0, 1.0, 10.0, 50.0, 100.0, 1000.0]
 SWEEP_CS = [1.0, 10.0, 100.0, 1000.0]
 
+# Random Fourier features that stand for an RBF kernel (our parameter: the
+# kernel's error falls with the square root of their number).
+NUM_RFF = 256
+
 # Feature-set sweeps (sizes × windows) of the embedding scripts.
 WORD_VECTOR_SIZES = [300, 400, 500, 600, 700, 800, 900, 1000]
 WORD_VECTOR_WINDOWS = [5, 9, 11, 13, 17]
