@@ -122,18 +122,6 @@ def test_score_linear_argmax_ties_to_smaller_label(spark):
     assert evaluate.score_linear(counts, w).first().prediction == 0
 
 
-def test_dense_sums_equal_summarizer(spark):
-    rng = np.random.default_rng(5)
-    rows = [(d, f"w{k}", int(1 + (d * k) % 4), float(rng.random()), rng.normal(size=6).astype(float).tolist())
-            for d in range(30) for k in range(d % 7 + 1)]
-    hits = spark.createDataFrame(rows, "doc_id long, word string, tf long, tfidf double, vector array<double>")
-    for how in ("mean", "sum", "std", "tfidf"):
-        a = {r.doc_id: r.features for r in pooling.pool(hits, how).collect()}
-        b = {r.doc_id: r.features for r in pooling.pool(hits, how, dim=6).collect()}
-        assert a.keys() == b.keys()
-        assert all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
-
-
 
 def test_rank_by_empty_table(spark):
     empty = spark.createDataFrame([], "c long, w string")

@@ -23,13 +23,18 @@ __all__ = [
 WORD_CLASS = r"[\p{L}\p{N}_]"
 
 
+# What separates words for a unicode-aware ``split()``; Java's and RE2's ``\s`` are ASCII-only.
+# Written so that both engines read it.
+SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def tokens_ws(text) -> Column:
     """Whitespace tokens, case kept (``str.split()``)."""
-    return F.filter(F.split(_col(text), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(_col(text), SPACE + "+"), lambda x: x != "")
 
 
 def tokens_word(text) -> Column:
@@ -104,7 +109,7 @@ def treebank_sql(expr: str, lower: bool = True) -> str:
 
 def normalize_text(text) -> Column:
     """T5: lower-case, collapse whitespace to one space, strip, drop outer quotes, ``"`` -> ``'``."""
-    t = F.trim(F.regexp_replace(F.lower(_col(text)), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.lower(_col(text)), SPACE + "+", " "))
     t = F.regexp_replace(t, r'^"+|"+$', "")
     return F.regexp_replace(t, '"', "'")
 
@@ -137,7 +142,7 @@ def word_ngrams(tokens, lo: int, hi: int, sep: str = " ") -> Column:
 
 def char_array(text) -> Column:
     """T8 input: characters of the lower-cased text, runs of two or more whitespace as one space."""
-    return F.split(F.regexp_replace(F.lower(_col(text)), r"\s\s+", " "), "")
+    return F.split(F.regexp_replace(F.lower(_col(text)), SPACE + "{2,}", " "), "")
 
 
 def char_ngrams(chars, lo: int, hi: int) -> Column:

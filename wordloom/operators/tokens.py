@@ -1,4 +1,4 @@
-"""Token tables: one row per token occurrence, partitioned by document."""
+"""Token tables: one row per token occurrence."""
 
 from __future__ import annotations
 
@@ -6,41 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _hash_partitioned_on(df: DataFrame, key: str) -> bool:
-    """True when the physical plan already delivers rows hash-partitioned on ``key`` alone
-    (for example a table bucketed by ``key``)."""
-    try:
-        part = df._jdf.queryExecution().executedPlan().outputPartitioning()
-        exprs = [e.toString() for e in part.expressions()] if "HashPartitioning" in part.getClass().getName() else []
-    except Exception:  # non-classic sessions: be conservative
-        return False
-    return len(exprs) == 1 and exprs[0].split("#")[0] == key
-
-
-def by_doc(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hash-partition documents by their id once, before any token explosion.
+def by_doc(docs: DataFrame, key: str = "doc_id", bucketed: bool = False) -> DataFrame:
+    """Hash-partition documents by their id once, before tokens are exploded and grouped by document.
 
     Every later per-document step (term counts, pooling, contexts, re-joining
     tokens into text) then finds its input already clustered by ``key`` and
     adds no shuffle; a document never spans partitions.  The shuffle moves raw
-    text, which is smaller than the token rows it saves moving.  A corpus stored
-    bucketed by ``key`` (``sources.write_bucketed_corpus``) is already laid out
-    that way and is not shuffled at all.
-    """
-    if _hash_partitioned_on(docs, key):
-        return docs
-    return docs.repartition(key)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a table that has fewer partitions than the cluster has task slots.
-
-    Small inputs (a few parquet row groups) would otherwise tokenise on a few
-    cores.  A large input already has far more partitions than slots, and is
-    left as it is: no shuffle is added at scale.
+    text, which is smaller than the token rows it saves moving.  For a corpus
+    stored bucketed by ``key`` (``sources.write_bucketed_corpus``) say
+    ``bucketed``: it is laid out that way already.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return docs if bucketed else docs.repartition(key)
 
 
 def explode_tokens(docs: DataFrame, tokens: Column, keep=("doc_id",),

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import tokens as T
 from wordloom.operators.ranking import rank_by, top_k
+from wordloom.operators.tokens import by_doc, explode_tokens
+from wordloom.schema import CHAR_NGRAM_RANGE, WORD_NGRAM_RANGES
 
 
 def term_frequency(tokens: DataFrame, by=("lang",), term: str = "word") -> DataFrame:
@@ -17,10 +20,13 @@ def term_frequency(tokens: DataFrame, by=("lang",), term: str = "word") -> DataF
     return tokens.groupBy(*by, term).agg(F.count(F.lit(1)).alias("count"))
 
 
-def drop_singletons(tokens: DataFrame, term: str = "word") -> DataFrame:
-    """A2: token rows whose term occurs more than once in the corpus."""
-    keep = tokens.groupBy(term).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(term)
-    return tokens.join(keep, term, "left_semi")
+def drop_singletons(tf: DataFrame, term: str = "word") -> DataFrame:
+    """A2: (doc, term, tf) rows whose term occurs more than once in the corpus.
+
+    Works on counts, so a word that is in every document joins once per document.
+    """
+    keep = tf.groupBy(term).agg(F.sum("tf").alias("n")).filter("n > 1").select(term)
+    return tf.join(keep, term, "left_semi")
 
 
 def dictionary(tf: DataFrame, term: str = "word", doc: str = "doc_id") -> DataFrame:
@@ -55,7 +61,6 @@ def tfidf(tf: DataFrame, idf_df: DataFrame, doc: str = "doc_id", term: str = "wo
     ``tf`` should be partitioned by ``doc`` (see ``by_doc``) so that the norm,
     a sum over each document, needs no shuffle.
     """
-    from pyspark.sql import Window
     w = (tf.join(idf_df.select(term, "idf").filter(F.col("idf") != 0), term)
            .withColumn("w", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
@@ -86,19 +91,40 @@ def vocabulary_rank(counts: DataFrame, min_count: int, term: str = "word",
     return rank_by(kept, F.col(count_col).desc(), F.col(term).asc(), rank_col="rank")
 
 
+def word_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """T7 counted: (doc, term, tf) for word n-grams lo..hi of the treebank-joined text."""
+    d = by_doc(docs, doc).select(doc, T.tokens_word2(T.treebank_text(text)).alias("toks"))
+    return (d.select(doc, F.explode(T.word_ngrams("toks", lo, hi)).alias("term"))
+             .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def char_ngram_counts(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", chars: str = "chars") -> DataFrame:
     """T8 counted: (doc, term, tf) for character n-grams lo..hi across word borders.
 
-    One row per character position; the following ``hi - 1`` characters come
-    from ``lead`` over the document's positions (the table is partitioned by
-    document, so the window sorts locally and never shuffles), and the n-grams
-    are prefixes of that short string.  No per-position rescans of the text.
+    Each position of the ``chars`` array gives one string of ``hi`` characters,
+    cut out in the document's own row; the n-grams are its prefixes.
     """
-    pos = docs.select(doc, F.posexplode(chars).alias("pos", "ch"))
-    w = Window.partitionBy(doc).orderBy("pos")
-    follow = [F.lead("ch", k).over(w) for k in range(1, hi)]
-    win = pos.select(doc, F.concat_ws("", F.col("ch"), *follow).alias("win"))
-    grams = win.select(doc, F.explode(F.array(*[
+    c = F.col(chars)
+    cut = F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array_join(F.slice(c, i, hi), ""))
+    long = docs.filter(F.size(c) > 0).select(doc, F.explode(cut).alias("win"))
+    grams = long.select(doc, F.explode(F.array(*[
         F.when(F.length("win") >= n, F.substring("win", 1, n)) for n in range(lo, hi + 1)])).alias("term"))
     return grams.filter(F.col("term").isNotNull()).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
+
+def char_wb_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """T9 counted: (doc, term, tf); n-grams are cut per distinct word of a document and weighted with its count."""
+    words = explode_tokens(by_doc(docs, doc), T.tokens_ws(F.lower(T.treebank_text(text))), keep=(doc,))
+    wtf = words.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("wtf"))
+    grams = wtf.select(doc, "wtf", F.explode(T.char_wb_ngrams("word", lo, hi)).alias("term"))
+    return grams.groupBy(doc, "term").agg(F.sum("wtf").alias("tf"))
+
+
+def ngram_tf(docs: DataFrame, group: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, term, tf) of one feature group of the n-gram classifier, all on treebank-joined text."""
+    if group == "char":
+        chars = by_doc(docs, doc).select(doc, T.char_array(T.treebank_text(text)).alias("chars"))
+        return char_ngram_counts(chars, *CHAR_NGRAM_RANGE, doc=doc)
+    if group == "char_wb":
+        return char_wb_ngram_tf(docs, *CHAR_NGRAM_RANGE, doc=doc, text=text)
+    return word_ngram_tf(docs, *WORD_NGRAM_RANGES[group], doc=doc, text=text)

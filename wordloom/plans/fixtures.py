@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import tokens_word, tokens_ws
 from wordloom.operators.ranking import materialize, rank_by
-from wordloom.operators.tokens import by_doc, explode_tokens, spread
+from wordloom.operators.tokens import by_doc, explode_tokens
 from wordloom.schema import CORPUS_LABELS
 from wordloom.session import table
 
@@ -42,7 +42,7 @@ def split_of(id_col="doc_id"):
 
 def _docs(docs: DataFrame, by_document: bool) -> DataFrame:
     d = docs.select("doc_id", "lang", "text")
-    return by_doc(d) if by_document else spread(d)
+    return by_doc(d) if by_document else d
 
 
 def tokens(docs: DataFrame, by_document: bool = True) -> DataFrame:
@@ -104,7 +104,7 @@ def tag_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     toks = docs.select(F.explode(tokens_word("text")).alias("word"))
     counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    top = rank_by(counts, F.col("count").desc(), F.col("word").asc()).filter(F.col("rank") < TAG_LEXICON_SIZE)
+    top = rank_by(counts.orderBy(F.col("count").desc(), "word").limit(TAG_LEXICON_SIZE), F.col("count").desc(), F.col("word").asc())
     tags = F.array(*[F.lit(t) for t in LEXICON_TAGS])
     return materialize(top.select("word", F.element_at(tags, (F.col("rank") % 8 + 1).cast("int")).alias("tag")),
                        "tag_lexicon")
@@ -145,7 +145,7 @@ def cv_metrics(docs: DataFrame) -> DataFrame:
 def linear_weights(toks: DataFrame, top: int = 200) -> DataFrame:
     """(label_code, word, weight): integer weights for the ``top`` most frequent words."""
     counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    ranked = rank_by(counts, F.col("count").desc(), F.col("word").asc()).filter(F.col("rank") < top)
+    ranked = rank_by(counts.orderBy(F.col("count").desc(), "word").limit(top), F.col("count").desc(), F.col("word").asc())
     codes = F.array(*[F.lit(i) for i in range(len(CORPUS_LABELS))])
     w = ranked.select("word", "rank", F.explode(codes).alias("label_code"))
     return w.select("label_code", "word", ((F.col("rank") * 31 + F.col("label_code") * 17) % 101 - 50).alias("weight"))

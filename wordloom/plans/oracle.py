@@ -1,13 +1,14 @@
 """DuckDB SQL for the fixtures, shared by the oracle queries.
 
 Each fixture is a CTE body; ``with_sql`` assembles the ones a query needs.
-The definitions restate ``plans/fixtures.py`` in plain SQL, independently of
-the Spark code paths.
+The definitions restate ``plans/fixtures.py`` in plain SQL.  The treebank rule
+list and the whitespace class are shared with the Spark code; golden tests hold
+them to fixed rows.
 """
 
 from __future__ import annotations
 
-from wordloom.functions.tokens import treebank_sql
+from wordloom.functions.tokens import SPACE, treebank_sql
 
 WORD_RE = r"[\p{L}\p{N}_]+"
 
@@ -21,7 +22,7 @@ SELECT {ks}, r.i::INT AS {pos}, d.t[r.i + 1] AS {word}
 FROM (SELECT {keep}, {list_expr} AS t FROM {src}) d, unnest(range(len(d.t))) AS r(i)"""
 
 
-WS_LIST = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+WS_LIST = f"list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '')"
 
 
 def tb_list(expr: str = "text", lower: bool = True) -> str:

@@ -18,7 +18,7 @@ from wordloom.operators import annotate, context, evaluate, pooling, shaping, vo
 from wordloom.operators.tokens import by_doc, explode_tokens, term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.oracle import WORD_RE, WS_LIST, context_cte, explode_sql, tb_list, treebank_sql, with_sql
-from wordloom.schema import CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF
+from wordloom.schema import CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF, NUMBER_WORDS, STOP_WORDS
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,12 +49,12 @@ def docs(spark, sf_dir):
 
 @register("t1_tokens_ws", with_sql([], explode_sql(WS_LIST, keep="doc_id")))
 def t1_tokens_ws(spark, sf_dir):
-    return explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_ws("text"))
+    return explode_tokens(docs(spark, sf_dir), T.tokens_ws("text"))
 
 
 @register("t2_tokens_word", with_sql([], explode_sql(f"regexp_extract_all(text, '{WORD_RE}')", keep="doc_id")))
 def t2_tokens_word(spark, sf_dir):
-    return explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_word("text"))
+    return explode_tokens(docs(spark, sf_dir), T.tokens_word("text"))
 
 
 _T3_LIST = f"regexp_extract_all(lower({treebank_sql('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
@@ -63,29 +63,29 @@ _T3_LIST = f"regexp_extract_all(lower({treebank_sql('text')}), '[\\p{{L}}\\p{{N}
 @register("t3_tokens_word2", with_sql([], explode_sql(_T3_LIST, keep="doc_id")))
 def t3_tokens_word2(spark, sf_dir):
     """Count-vectoriser tokens of the treebank-joined text."""
-    return explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_word2(T.treebank_text("text")))
+    return explode_tokens(docs(spark, sf_dir), T.tokens_word2(T.treebank_text("text")))
 
 
 @register("t4_tokens_treebank", with_sql([], explode_sql(tb_list("text"), keep="doc_id")))
 def t4_tokens_treebank(spark, sf_dir):
-    return explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_treebank("text"))
+    return explode_tokens(docs(spark, sf_dir), T.tokens_treebank("text"))
 
 
 @register("t5_normalize_text", """
-SELECT doc_id, replace(regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '^"+|"+$', '', 'g'), '"', '''') AS text
+SELECT doc_id, replace(regexp_replace(trim(regexp_replace(lower(text), '""" + T.SPACE + """+', ' ', 'g')), '^"+|"+$', '', 'g'), '"', '''') AS text
 FROM documents""")
 def t5_normalize_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize_text("text").alias("text"))
 
 
-_STOP = "['for', 'a', 'of', 'the', 'and', 'to', 'in']"
+_STOP = str(STOP_WORDS)
 
 
 @register("t6_stopword_filter", with_sql([], explode_sql(
-    f"list_filter(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''), lambda x: NOT list_contains({_STOP}, x))",
+    f"list_filter(list_filter(regexp_split_to_array(lower(text), '{T.SPACE}+'), lambda x: x <> ''), lambda x: NOT list_contains({_STOP}, x))",
     keep="doc_id")))
 def t6_stopword_filter(spark, sf_dir):
-    return explode_tokens(by_doc(docs(spark, sf_dir)), T.stopword_filter(T.tokens_ws(F.lower("text"))))
+    return explode_tokens(docs(spark, sf_dir), T.stopword_filter(T.tokens_ws(F.lower("text"))))
 
 
 def _ngram_stats(term_tf, min_df):
@@ -94,9 +94,7 @@ def _ngram_stats(term_tf, min_df):
 
 
 def _word_ngram_tf(spark, sf_dir, lo, hi):
-    d = by_doc(docs(spark, sf_dir)).select("doc_id", T.tokens_word2(T.treebank_text("text")).alias("toks"))
-    return (d.select("doc_id", F.explode(T.word_ngrams("toks", lo, hi)).alias("term"))
-             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return vocab.word_ngram_tf(docs(spark, sf_dir), lo, hi)
 
 
 _T3_TOKS = f"""
@@ -125,7 +123,7 @@ SELECT doc_id, term FROM (
   FROM (SELECT doc_id, ch || coalesce(string_agg(ch, '') OVER (PARTITION BY doc_id ORDER BY pos
                                                    ROWS BETWEEN 1 FOLLOWING AND {follow} FOLLOWING), '') AS win
         FROM (SELECT d.doc_id, r.i AS pos, d.c[r.i + 1] AS ch
-              FROM (SELECT doc_id, string_split(regexp_replace(lower(text), '\\s\\s+', ' ', 'g'), '') AS c FROM documents) d,
+              FROM (SELECT doc_id, string_split(regexp_replace(lower({tb}), '{space}{{2,}}', ' ', 'g'), '') AS c FROM documents) d,
                    unnest(range(len(d.c))) AS r(i))) w,
        unnest(range({lo}, {hi} + 1)) AS n(n))
 WHERE term IS NOT NULL"""
@@ -133,31 +131,25 @@ WHERE term IS NOT NULL"""
 
 @register("t8_char_ngrams", with_sql(["grams"], """
 SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10""",
-    extra={"grams": _CHAR_SQL.format(lo=2, hi=10, follow=9)}))
+    extra={"grams": _CHAR_SQL.format(lo=2, hi=10, follow=9, tb=treebank_sql("text"), space=T.SPACE)}))
 def t8_char_ngrams(spark, sf_dir):
-    d = by_doc(docs(spark, sf_dir)).select("doc_id", T.char_array("text").alias("chars"))
-    return _ngram_stats(vocab.char_ngram_counts(d, 2, 10), NGRAM_MIN_DF)
+    return _ngram_stats(vocab.ngram_tf(docs(spark, sf_dir), "char"), NGRAM_MIN_DF)
 
 
 _CHAR_WB_SQL = """
 SELECT w.doc_id, substring(w.p, r.i + 1, n.n) AS term
 FROM (SELECT doc_id, ' ' || x || ' ' AS p
-      FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda y: y <> '')) AS x FROM documents)) w,
+      FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower({tb}), '{space}+'), lambda y: y <> '')) AS x FROM documents)) w,
      unnest(range(2, least(10, length(w.p)) + 1)) AS n(n), unnest(range(length(w.p) - n.n + 1)) AS r(i)"""
 
 
 @register("t9_char_wb_ngrams", with_sql(["grams"], """
 SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df FROM grams GROUP BY term
 HAVING count(DISTINCT doc_id) >= 10""",
-    extra={"grams": _CHAR_WB_SQL}))
+    extra={"grams": _CHAR_WB_SQL.format(tb=treebank_sql("text"), space=T.SPACE)}))
 def t9_char_wb_ngrams(spark, sf_dir):
     """Counted per distinct (doc, word) first, then multiplied by the word's tf."""
-    d = by_doc(docs(spark, sf_dir))
-    words = explode_tokens(d, T.tokens_ws(F.lower("text")))
-    wtf = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("wtf"))
-    grams = wtf.select("doc_id", "wtf", F.explode(T.char_wb_ngrams("word", 2, 10)).alias("term"))
-    tf = grams.groupBy("doc_id", "term").agg(F.sum("wtf").alias("tf"))
-    return _ngram_stats(tf, NGRAM_MIN_DF)
+    return _ngram_stats(vocab.ngram_tf(docs(spark, sf_dir), "char_wb"), NGRAM_MIN_DF)
 
 
 @register("t10_strip_id_suffix", """
@@ -172,7 +164,7 @@ def t10_strip_id_suffix(spark, sf_dir):
 SELECT doc_id, count(*) FILTER (WHERE regexp_full_match(word, '\\p{L}+'))::BIGINT AS n_alpha, count(*)::BIGINT AS n_tokens
 FROM tb GROUP BY doc_id""", extra={"tb": explode_sql(tb_list("text"), keep="doc_id")}))
 def t11_alpha_flag(spark, sf_dir):
-    t = explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_treebank("text"))
+    t = explode_tokens(docs(spark, sf_dir), T.tokens_treebank("text"))
     return t.groupBy("doc_id").agg(F.sum(T.alpha_flag("word").cast("long")).alias("n_alpha"),
                                    F.count(F.lit(1)).alias("n_tokens"))
 
@@ -181,9 +173,7 @@ def t11_alpha_flag(spark, sf_dir):
 # Number words and their one-edit variants
 # ---------------------------------------------------------------------------
 
-_NUMBER_WORDS_SQL = ("['one', 'two', 'twenty', 'three', 'thirty', 'four', 'forty', 'five', 'fifty', 'six', 'sixty', "
-                     "'seven', 'seventy', 'eight', 'eighty', 'nine', 'ninety', 'thousand', 'lakhs', 'crore', "
-                     "'million', 'billion']")
+_NUMBER_WORDS_SQL = str(NUMBER_WORDS)
 _IS_VARIANT = (f"(regexp_full_match(word, '[a-z]+') AND "
                f"list_bool_or(list_transform({_NUMBER_WORDS_SQL}, lambda nw: damerau_levenshtein(word, nw) <= 1)))")
 
@@ -193,7 +183,7 @@ SELECT word AS variant, count(*)::BIGINT AS n FROM ws_tokens WHERE {_IS_VARIANT}
 def t12_edit1_variants(spark, sf_dir):
     """One-edit variants of the number words that occur in the corpus, with their counts."""
     variants = annotate.number_variants(spark)
-    toks = fx.ws_tokens(docs(spark, sf_dir))
+    toks = fx.ws_tokens(docs(spark, sf_dir), by_document=False)
     counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(F.broadcast(variants), counts.word == variants.variant).select("variant", "n")
 
@@ -201,7 +191,7 @@ def t12_edit1_variants(spark, sf_dir):
 @register("j4_number_tag_lookup", with_sql(["ws_tokens"], f"""
 SELECT doc_id, pos, word FROM ws_tokens WHERE {_IS_VARIANT}"""))
 def j4_number_tag_lookup(spark, sf_dir):
-    toks = fx.ws_tokens(docs(spark, sf_dir))
+    toks = fx.ws_tokens(docs(spark, sf_dir), by_document=False)
     return annotate.number_tag(toks, annotate.number_variants(spark)).filter("is_num").select("doc_id", "pos", "word")
 
 
@@ -209,11 +199,11 @@ def j4_number_tag_lookup(spark, sf_dir):
 # A: vocabulary, tf-idf
 # ---------------------------------------------------------------------------
 
-_LOWER_WS = explode_sql(f"list_filter(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''), lambda x: NOT list_contains({_STOP}, x))")
+_LOWER_WS = explode_sql(f"list_filter(list_filter(regexp_split_to_array(lower(text), '{T.SPACE}+'), lambda x: x <> ''), lambda x: NOT list_contains({_STOP}, x))")
 
 
 def _stop_tokens(spark, sf_dir):
-    return explode_tokens(by_doc(docs(spark, sf_dir).select("doc_id", "lang", "text")),
+    return explode_tokens(docs(spark, sf_dir).select("doc_id", "lang", "text"),
                           T.stopword_filter(T.tokens_ws(F.lower("text"))), keep=("doc_id", "lang"))
 
 
@@ -227,8 +217,8 @@ def a1_term_frequency(spark, sf_dir):
 SELECT doc_id, count(*)::BIGINT AS n_tokens FROM st
 WHERE word IN (SELECT word FROM st GROUP BY word HAVING count(*) > 1) GROUP BY doc_id""", extra={"st": _LOWER_WS}))
 def a2_drop_singletons(spark, sf_dir):
-    kept = vocab.drop_singletons(_stop_tokens(spark, sf_dir))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    kept = vocab.drop_singletons(term_counts(_stop_tokens(spark, sf_dir)))
+    return kept.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"))
 
 
 @register("a3_dictionary", with_sql(["tokens", "tf"], """
@@ -240,12 +230,12 @@ def a3_dictionary(spark, sf_dir):
 
 @register("a4_doc2bow", with_sql(["tokens", "tf"], """
 SELECT doc_id, word, tf FROM tf
-WHERE doc_id % 10 = 8 AND word IN (SELECT word FROM tf WHERE doc_id % 10 < 8)"""))
+SEMI JOIN (SELECT DISTINCT word FROM tf WHERE doc_id % 10 < 8) USING (word) WHERE doc_id % 10 >= 8"""))
 def a4_doc2bow(spark, sf_dir):
-    """Development documents against the training dictionary: unknown words drop out."""
+    """Development and test documents against the training dictionary: unknown words drop out."""
     tf = term_counts(fx.tokens(docs(spark, sf_dir)))
     train_dict = tf.filter(F.col("doc_id") % 10 < 8).select("word").distinct()
-    return vocab.doc2bow(tf.filter(F.col("doc_id") % 10 == 8), train_dict)
+    return vocab.doc2bow(tf.filter(F.col("doc_id") % 10 >= 8), train_dict)
 
 
 @register("a5_distinct_words_per_doc", with_sql(["tokens"], """
@@ -273,15 +263,42 @@ def a7_tfidf(spark, sf_dir):
     return vocab.tfidf(tf, _idf(spark, sf_dir, tf)).select("doc_id", "word", r4("tfidf").alias("tfidf"))
 
 
-_T3_NGRAM_TOPK = with_sql(["t3", "grams"], """
+def _topk_sql(k, grams, **extra):
+    return with_sql([*extra, "grams"], f"""
 SELECT term, count, df, term_id FROM (
   SELECT term, count(*)::BIGINT AS count, count(DISTINCT doc_id)::BIGINT AS df,
          row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_id
   FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10)
-WHERE term_id < 200000""", extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 3)})
+WHERE term_id < {k}""", extra={**extra, "grams": grams})
 
 
-@register("a15_vocabulary_topk", _T3_NGRAM_TOPK)
+def _topk(spark, sf_dir, group, k):
+    return vocab.vocabulary_topk(vocab.ngram_tf(docs(spark, sf_dir), group), k, min_df=NGRAM_MIN_DF)
+
+
+@register("a15_vocabulary_top2000", _topk_sql(2000, _ngram_sql(1, 3), t3=_T3_TOKS))
+def a15_vocabulary_top2000(spark, sf_dir):
+    """A cap well below the number of terms."""
+    return _topk(spark, sf_dir, "uni_to_tri", 2000)
+
+
+@register("a15_vocabulary_1to8", _topk_sql(NGRAM_GROUP_CAPS["tri_to_five"], _ngram_sql(1, 8), t3=_T3_TOKS))
+def a15_vocabulary_1to8(spark, sf_dir):
+    return _topk(spark, sf_dir, "tri_to_five", NGRAM_GROUP_CAPS["tri_to_five"])
+
+
+@register("a15_vocabulary_char", _topk_sql(NGRAM_GROUP_CAPS["char"], _CHAR_SQL.format(
+    lo=2, hi=10, follow=9, tb=treebank_sql("text"), space=T.SPACE)))
+def a15_vocabulary_char(spark, sf_dir):
+    return _topk(spark, sf_dir, "char", NGRAM_GROUP_CAPS["char"])
+
+
+@register("a15_vocabulary_char_wb", _topk_sql(NGRAM_GROUP_CAPS["char_wb"], _CHAR_WB_SQL.format(tb=treebank_sql("text"), space=T.SPACE)))
+def a15_vocabulary_char_wb(spark, sf_dir):
+    return _topk(spark, sf_dir, "char_wb", NGRAM_GROUP_CAPS["char_wb"])
+
+
+@register("a15_vocabulary_topk", _topk_sql(NGRAM_GROUP_CAPS["uni_to_tri"], _ngram_sql(1, 3), t3=_T3_TOKS))
 def a15_vocabulary_topk(spark, sf_dir):
     """Word n-grams 1..3, df >= 10, top 200,000 by corpus count (the 1..3 group's cap)."""
     return vocab.vocabulary_topk(_word_ngram_tf(spark, sf_dir, 1, 3), NGRAM_GROUP_CAPS["uni_to_tri"],
@@ -300,6 +317,17 @@ def a16_ngram_counts(spark, sf_dir):
     return vocab.ngram_counts(tf, voc)
 
 
+@register("a16_ngram_counts_1to8", with_sql(["t3", "grams", "vocab"], """
+SELECT g.doc_id, g.term, count(*)::BIGINT AS tf, v.term_id FROM grams g JOIN vocab v USING (term)
+GROUP BY g.doc_id, g.term, v.term_id""", extra={"t3": _T3_TOKS, "grams": _ngram_sql(1, 8), "vocab": """
+SELECT term, term_id FROM (
+  SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS term_id
+  FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 10) WHERE term_id < 300000"""}))
+def a16_ngram_counts_1to8(spark, sf_dir):
+    tf = vocab.ngram_tf(docs(spark, sf_dir), "tri_to_five")
+    return vocab.ngram_counts(tf, vocab.vocabulary_topk(tf, NGRAM_GROUP_CAPS["tri_to_five"], min_df=NGRAM_MIN_DF))
+
+
 @register("w3_vocabulary_rank", with_sql(["tokens"], """
 SELECT word, count(*)::BIGINT AS count, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS rank
 FROM tokens GROUP BY word HAVING count(*) >= 5"""))
@@ -329,16 +357,14 @@ GROUP BY t.doc_id, u.i"""
                                    _POOL_SQL.format(agg="avg(v.embedding[u.i + 1]::DOUBLE)")))
 def a8_pool_mean(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "mean",
-                                          dim=pooling.vector_dim(vectors)))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "mean"))
 
 
 @register("a9_pool_sum", with_sql(["tokens", "word_vectors"],
                                   _POOL_SQL.format(agg="sum(v.embedding[u.i + 1]::DOUBLE)")))
 def a9_pool_sum(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "sum",
-                                          dim=pooling.vector_dim(vectors)))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "sum"))
 
 
 @register("a10_pool_mean_std", with_sql(["tokens", "word_vectors"], """
@@ -349,8 +375,7 @@ FROM tokens t JOIN word_vectors v USING (word), unnest(range(len(v.embedding)))
 GROUP BY t.doc_id, u.i, k.k, len(v.embedding)"""))
 def a10_pool_mean_std(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "std",
-                                          dim=pooling.vector_dim(vectors)))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(tf, vectors), "std"))
 
 
 @register("a11_pool_tfidf", with_sql(["tokens", "tf", "n_docs", "idf", "tfidf", "word_vectors"], """
@@ -361,9 +386,7 @@ GROUP BY x.doc_id, u.i"""))
 def a11_pool_tfidf(spark, sf_dir):
     tf, vectors = _hits(spark, sf_dir)
     weights = vocab.tfidf(tf, _idf(spark, sf_dir, tf))
-    joined = pooling.weight_join(tf, weights)
-    return pooling.long_form(pooling.pool(pooling.lookup_vectors(joined, vectors), "tfidf", weight="tfidf",
-                                          dim=pooling.vector_dim(vectors)))
+    return pooling.long_form(pooling.pool(pooling.lookup_vectors(weights, vectors), "tfidf"))
 
 
 @register("j1_lookup_vectors", with_sql(["tokens", "tf", "word_vectors"], """
@@ -463,6 +486,18 @@ def a13_context_doc_sum(spark, sf_dir):
     return pooling.long_form(context.context_doc_vectors(toks, vectors, 4, "sum"))
 
 
+@register("a13_context_doc_sum_w10", _doc_ctx_sql(10, "sum"))
+def a13_context_doc_sum_w10(spark, sf_dir):
+    toks, vectors = _ctx(spark, sf_dir, 10)
+    return pooling.long_form(context.context_doc_vectors(toks, vectors, 10, "sum"))
+
+
+@register("a14_context_doc_mean_w4", _doc_ctx_sql(4, "avg"))
+def a14_context_doc_mean_w4(spark, sf_dir):
+    toks, vectors = _ctx(spark, sf_dir, 4)
+    return pooling.long_form(context.context_doc_vectors(toks, vectors, 4, "mean"))
+
+
 @register("a14_context_doc_mean", _doc_ctx_sql(10, "avg"))
 def a14_context_doc_mean(spark, sf_dir):
     toks, vectors = _ctx(spark, sf_dir, 10)
@@ -503,7 +538,7 @@ SELECT {_RULE_TAG_SQL} AS tag, count(*)::BIGINT AS n
 FROM wt t LEFT JOIN tag_lexicon l USING (word) GROUP BY 1""",
     extra={"wt": explode_sql(f"regexp_extract_all(text, '{WORD_RE}')", keep="doc_id")}))
 def j8_pos_tag(spark, sf_dir):
-    toks = explode_tokens(by_doc(docs(spark, sf_dir)), T.tokens_word("text"))
+    toks = explode_tokens(docs(spark, sf_dir), T.tokens_word("text"))
     tagged = annotate.pos_tag(toks, fx.tag_lexicon(spark, sf_dir))
     return tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 

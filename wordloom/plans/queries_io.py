@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from wordloom.functions.tokens import SPACE
 from wordloom.plans import fixtures as fx
 from wordloom.plans.oracle import WS_LIST, context_cte, with_sql
 from wordloom.plans.queries import docs, r4, register
@@ -53,12 +54,11 @@ def s3_read_label_slice(spark, sf_dir):
 
 
 @register("k5_write_per_label", f"""
-SELECT 'fr' AS label, lower({ONE_LINE}) AS text FROM documents WHERE lang = 'fr'""")
+SELECT lang AS label, lower({ONE_LINE}) AS text FROM documents""")
 def k5_write_per_label(spark, sf_dir):
     path = scratch_path(spark, "per_label")
     K.write_per_label(_corpus(spark, sf_dir), path)
-    back = spark.read.text(path)  # label= folders become a partition column; the filter prunes them
-    return back.filter(F.col("label") == "fr").select("label", F.col("value").alias("text"))
+    return spark.read.text(path).select("label", F.col("value").alias("text"))  # label= folders become a column
 
 
 @register("k6_write_corpus_apostrophe", f"""
@@ -110,7 +110,7 @@ def _lines_file(spark, sf_dir, col_expr, name):
 
 @register("s6_read_lines_tagged", f"""
 SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS tag,
-       len(list_filter(regexp_split_to_array({ONE_LINE}, '\\s+'), lambda x: x <> ''))::INT AS n_words
+       len(list_filter(regexp_split_to_array({ONE_LINE}, '{SPACE}+'), lambda x: x <> ''))::INT AS n_words
 FROM documents""")
 def s6_read_lines_tagged(spark, sf_dir):
     path = _lines_file(spark, sf_dir, K.one_line(F.col("text")), "lines")

@@ -82,7 +82,7 @@ def line_numbers(lines: DataFrame, col: str = "line", file_col: str | None = Non
     ``lines`` must be a file scan (it reads ``_metadata``).  Rows of one file
     split arrive in file order with consecutive partition-local ids, so only the
     splits need ordering: rows are counted per (file, split start), a prefix sum
-    over the splits (one row per split, broadcast) gives each split's first line,
+    over the splits (one row per split) gives each split's first line,
     and a row's line is that plus its distance from the split's first id.  The
     lines themselves are never sorted or shuffled.  ``file_col`` keeps the path.
     """
@@ -92,7 +92,7 @@ def line_numbers(lines: DataFrame, col: str = "line", file_col: str | None = Non
     splits = tagged.groupBy("__f", "__b").agg(F.min("__m").alias("__m0"), F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("__f", "__b", "__m0", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    out = tagged.join(F.broadcast(offsets), ["__f", "__b"])
+    out = tagged.join(offsets, ["__f", "__b"])
     out = out.withColumn(col, F.col("__off") + F.col("__m") - F.col("__m0"))
     if file_col:
         out = out.withColumnRenamed("__f", file_col)
