@@ -19,8 +19,8 @@ from wordloom.operators.ranking import materialize
 from wordloom.operators.tokens import term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
-from wordloom.schema import (CORPUS_LABELS, NGRAM_GROUP_CAPS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
-                             SWEEP_CS, SWEEP_GAMMAS, WORD_NGRAM_RANGES)
+from wordloom.schema import (CORPUS_LABELS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
+                             SWEEP_CS, SWEEP_GAMMAS)
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
 
@@ -143,15 +143,30 @@ def k7_save_model(spark, sf_dir):
     return _predictions(PipelineModel.load(path), d.filter(F.col("split") != "train"))
 
 
+def _m7(spark, sf_dir, group):
+    from wordloom.plans.pipelines import ngram_classification
+    return ngram_classification(docs(spark, sf_dir).withColumn("split", fx.split_of()), group, min_df=NGRAM_MIN_DF, c=0.1)
+
+
 @register("m7_ngram_pipeline")
 def m7_ngram_pipeline(spark, sf_dir):
-    """Word n-grams 1..3 -> counts over the A15 vocabulary (df >= 10) -> logistic regression;
-    dev and test scored."""
-    from wordloom.plans.pipelines import ngram_classification
-    d = docs(spark, sf_dir).withColumn("split", fx.split_of())
-    lo, hi = WORD_NGRAM_RANGES["uni_to_tri"]
-    return ngram_classification(d, lo, hi, min_df=NGRAM_MIN_DF, vocab_size=NGRAM_GROUP_CAPS["uni_to_tri"],
-                                c=0.1, max_iter=50)
+    """Word n-grams 1..3 -> counts over the A15 vocabulary (df >= 10) -> logistic regression; dev and test scored."""
+    return _m7(spark, sf_dir, "uni_to_tri")
+
+
+@register("m7_ngram_pipeline_1to8")
+def m7_ngram_pipeline_1to8(spark, sf_dir):
+    return _m7(spark, sf_dir, "tri_to_five")
+
+
+@register("m7_ngram_pipeline_char")
+def m7_ngram_pipeline_char(spark, sf_dir):
+    return _m7(spark, sf_dir, "char")
+
+
+@register("m7_ngram_pipeline_char_wb")
+def m7_ngram_pipeline_char_wb(spark, sf_dir):
+    return _m7(spark, sf_dir, "char_wb")
 
 
 def _doc_tf(spark, sf_dir):
