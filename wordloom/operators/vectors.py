@@ -19,19 +19,22 @@ from pyspark.sql import functions as F
 
 from wordloom.operators.ranking import materialize
 
+WORD_VECTOR_PARTITIONS = 8      # Word2Vec tasks whose models are averaged
+NOISE_TABLE = 1 << 14           # places of the negative-sampling table
+
 
 def train_word_vectors(tokens_arr: DataFrame, size: int, window: int, min_count: int = 5,
                        max_iter: int = 1, seed: int = 42, col: str = "words",
-                       num_partitions: int | None = None, max_sentence_length: int = 100_000):
+                       num_partitions: int = WORD_VECTOR_PARTITIONS, max_sentence_length: int | None = None):
     """M1: fit Spark ML Word2Vec on an array-of-words column.
 
-    Training runs on ``num_partitions`` tasks (default: the session's
-    parallelism; Spark averages the partition models after each pass).
-    ``max_sentence_length`` is set explicitly: Spark's default (1,000) would
-    cut long documents.  Returns the fitted model.
+    Training runs on ``num_partitions`` tasks and Spark averages their models
+    after each pass, so this number, not the cluster, is part of the result.
+    ``max_sentence_length`` defaults to the longest document: no context is cut.
+    Returns the fitted model.
     """
-    if num_partitions is None:
-        num_partitions = tokens_arr.sparkSession.sparkContext.defaultParallelism
+    if max_sentence_length is None:
+        max_sentence_length = max(1, tokens_arr.select(F.max(F.size(col))).first()[0] or 1)
     w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=max_iter, seed=seed,
                    inputCol=col, outputCol="__w2v", numPartitions=num_partitions,
                    maxSentenceLength=max_sentence_length)
@@ -43,18 +46,22 @@ def word_vector_table(model, name: str = "w2v_vectors") -> DataFrame:
     return materialize(model.getVectors().select("word", vector_to_array("vector").alias("embedding")), name)
 
 
-def negative_pool(tf: DataFrame, vectors: DataFrame, k: int, seed: int = 42) -> np.ndarray:
-    """A fixed sample of ``k`` word vectors for negative sampling, drawn with probability
-    ∝ count^0.75 by the exponential-race method (smallest -ln(u)/weight wins).
+def noise_table(tf: DataFrame, vectors: DataFrame, size: int = NOISE_TABLE, seed: int = 42) -> np.ndarray:
+    """Word vectors for negative sampling: a table in which every word of the vocabulary fills
+    a share ∝ count^0.75 of about ``size`` places (rounded up or down by a hash of the word, without bias).
 
-    The sample is a top-k over the vocabulary (each task keeps at most k rows,
-    k is a small parameter); only the k chosen vectors (k × dim) reach the driver.
+    Drawing a place at random draws from the whole vocabulary's noise
+    distribution.  At most about ``size`` vectors reach the driver.
     """
-    counts = tf.groupBy("word").agg(F.sum("tf").alias("count"))
-    u = (F.xxhash64(F.col("word"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(1)) / F.lit(float(1 << 52) + 2.0)
-    keyed = counts.join(vectors, "word").withColumn("race", -F.log(u) / F.pow(F.col("count"), 0.75))
-    rows = keyed.orderBy(F.col("race").asc(), F.col("word").asc()).limit(k).select("embedding").collect()
-    return np.array([r[0] for r in rows], dtype=np.float64)
+    counts = tf.groupBy("word").agg(F.sum("tf").alias("count")).join(vectors.select("word", "embedding"), "word")
+    weight = F.pow(F.col("count").cast("double"), 0.75)
+    total = counts.agg(F.sum(weight)).first()[0]
+    if not total:
+        return np.zeros((0, 0))
+    u = F.xxhash64(F.col("word"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    filled = counts.select("word", "embedding", F.floor(weight * F.lit(size / total) + u).cast("int").alias("places"))
+    rows = filled.filter(F.col("places") > 0).orderBy("word").collect()
+    return np.repeat(np.array([r["embedding"] for r in rows], dtype=np.float64), [r["places"] for r in rows], axis=0)
 
 
 def _infer_fn(dim: int, negatives, epochs: int, lr: float, neg_per_word: int, seed: int):
@@ -63,7 +70,7 @@ def _infer_fn(dim: int, negatives, epochs: int, lr: float, neg_per_word: int, se
         doc = int(pdf["doc_id"].iloc[0])
         model = int(pdf["model"].iloc[0]) if "model" in pdf else 0
         neg = negatives[model] if isinstance(negatives, dict) else negatives
-        rng = np.random.default_rng([seed, model, doc & 0x7FFFFFFF, doc >> 31])
+        rng = np.random.default_rng([seed, model, doc & 0xFFFFFFFF, doc >> 32 & 0xFFFFFFFF])
         order = np.argsort(pdf["word"].to_numpy())           # row order inside a group is not fixed
         v = np.stack(pdf["embedding"].to_numpy()[order]).astype(np.float64)
         tf = pdf["tf"].to_numpy()[order].astype(np.float64)

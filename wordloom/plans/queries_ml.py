@@ -10,17 +10,19 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wordloom.functions import tokens as T
 from wordloom.operators import classify as C
+from wordloom.operators import evaluate
 from wordloom.operators import svm
 from wordloom.operators import vectors as V
 from wordloom.operators.ranking import materialize
-from wordloom.operators.tokens import term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
-from wordloom.schema import (CORPUS_LABELS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
-                             SWEEP_CS, SWEEP_GAMMAS)
+from wordloom.schema import (CORPUS_LABELS, DOC_VECTOR_MIN_COUNT, DOC_VECTOR_SIZES, DOC_VECTOR_WINDOWS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
+                             SWEEP_CS, SWEEP_GAMMAS, WORD_VECTOR_SIZES, WORD_VECTOR_WINDOWS)
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
 
@@ -91,9 +93,9 @@ FROM t GROUP BY fold""")
 def m10_folds(spark, sf_dir):
     """Rows that each fold holds out and rows that its models are fitted on."""
     train = _svm_rows(spark, sf_dir).filter("split = 'train'")
-    total = train.select(F.count(F.lit(1)).alias("total"))
     per = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_held_out"))
-    return per.join(F.broadcast(total)).select("fold", "n_held_out", (F.col("total") - F.col("n_held_out")).alias("n_fitted"))
+    total = F.sum("n_held_out").over(Window.partitionBy())      # one row per fold
+    return per.select("fold", "n_held_out", (total - F.col("n_held_out")).alias("n_fitted"))
 
 
 @register("m10_svm_grid_cv")
@@ -169,53 +171,88 @@ def m7_ngram_pipeline_char_wb(spark, sf_dir):
     return _m7(spark, sf_dir, "char_wb")
 
 
-def _doc_tf(spark, sf_dir):
-    toks = fx.tokens(docs(spark, sf_dir))
-    return toks, term_counts(toks)
+def _words(spark, sf_dir):
+    """(doc_id, lang, split, words): treebank tokens of the lower-cased text."""
+    d = docs(spark, sf_dir).select("doc_id", "lang", fx.split_of().alias("split"), T.tokens_treebank(F.lower("text")).alias("words"))
+    return materialize(d, "words")
 
 
-def _w2v(toks_df, size, window, split_filter=None, seed=42, name="w2v"):
-    arr = toks_df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("p"))
-    arr = arr.select("doc_id", F.transform("p", lambda x: x["word"]).alias("words"))
-    if split_filter is not None:
-        arr = arr.filter(split_filter)
-    model = V.train_word_vectors(arr, size, window, min_count=5, max_iter=1, seed=seed)
-    return V.word_vector_table(model, name)
+def _tf(words):
+    return materialize(words.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(
+        F.count(F.lit(1)).alias("tf")), "term-counts")
+
+
+def _w2v(words, size, window, min_count, name):
+    return V.word_vector_table(V.train_word_vectors(words, size, window, min_count=min_count), name)
 
 
 @register("m1_train_word_vectors")
 def m1_train_word_vectors(spark, sf_dir):
-    toks, _ = _doc_tf(spark, sf_dir)
-    vec = _w2v(toks, 16, 5, F.col("doc_id") % 10 < 8)
+    d = docs(spark, sf_dir).filter(F.col("doc_id") % 10 < 8).select(T.tokens_word(F.lower("text")).alias("words"))
+    vec = _w2v(d, WORD_VECTOR_SIZES[0], WORD_VECTOR_WINDOWS[0], 5, "w2v")
     return vec.select("word", F.size("embedding").alias("n_dims"),
                       r4(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
 
 
+def _doc_vectors(spark, sf_dir, train_on):
+    """Vectors fitted on the documents that ``train_on`` picks; every document inferred."""
+    words = _words(spark, sf_dir)
+    tf = _tf(words)
+    size = DOC_VECTOR_SIZES[0]
+    fitted = words.filter(train_on)
+    vec = _w2v(fitted, size, DOC_VECTOR_WINDOWS[0], DOC_VECTOR_MIN_COUNT, "w2v")
+    noise = V.noise_table(tf.join(fitted.select("doc_id"), "doc_id", "left_semi"), vec)
+    return materialize(V.infer_doc_vectors(tf, vec, size, noise).join(words.select("doc_id", "lang", "split"), "doc_id"), "doc-vectors")
+
+
+def _per_label(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    tf, size, vecs, noise = _tf(words), DOC_VECTOR_SIZES[0], {}, {}
+    for label in CORPUS_LABELS:
+        own = words.filter((F.col("lang") == label) & (F.col("split") == "train"))
+        vecs[label] = _w2v(own, size, DOC_VECTOR_WINDOWS[0], DOC_VECTOR_MIN_COUNT, f"w2v_{label}")
+        noise[label] = V.noise_table(tf.join(own.select("doc_id"), "doc_id", "left_semi"), vecs[label])
+    out = V.doc_vectors_per_label(tf, vecs, size, noise, epochs=10)
+    return materialize(out.join(words.select("doc_id", "lang", "split"), "doc_id"), "label-vectors")
+
+
+def _classified(vectors):
+    """Logistic regression on the training vectors; accuracy and macro F1 of every split."""
+    d = vectors.withColumn("label_code", fx.label_code("lang").cast("double")).withColumn("features", array_to_vector("features"))
+    train = d.filter("split = 'train'")
+    pred = C.logistic_regression(0.1, train.count()).fit(train).transform(d).select(
+        "split", F.col("label_code").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    pred = materialize(pred, "predictions")
+    f1 = None
+    for split in ("train", "dev", "test"):
+        one = evaluate.macro_f1(pred.filter(F.col("split") == split)).withColumn("split", F.lit(split))
+        f1 = one if f1 is None else f1.unionByName(one)
+    return evaluate.accuracy(pred, by=("split",)).join(f1, "split")
+
+
 @register("m3_doc_vectors")
 def m3_doc_vectors(spark, sf_dir):
-    toks, tf = _doc_tf(spark, sf_dir)
-    vec = _w2v(toks, 16, 5, F.col("doc_id") % 10 < 8)
-    neg = V.negative_pool(tf, vec, 64)
-    out = V.infer_doc_vectors(tf, vec, 16, neg, epochs=20)
-    return out.select("doc_id", fx.split_of().alias("split"), F.size("features").alias("n_dims"))
+    return _doc_vectors(spark, sf_dir, F.col("split") == "train").select("doc_id", "split", F.size("features").alias("n_dims"))
+
+
+@register("m3_doc_vector_classification")
+def m3_doc_vector_classification(spark, sf_dir):
+    """S6, S7 -> M3 -> M6 -> E1, E2."""
+    return _classified(_doc_vectors(spark, sf_dir, F.col("split") == "train"))
 
 
 @register("m4_doc_vectors_transductive")
 def m4_doc_vectors_transductive(spark, sf_dir):
-    """Vectors fitted on train ∪ test, every document inferred, read back by split."""
-    toks, tf = _doc_tf(spark, sf_dir)
-    vec = _w2v(toks, 16, 5, None, name="w2v_all")
-    neg = V.negative_pool(tf, vec, 64)
-    out = V.infer_doc_vectors(tf, vec, 16, neg, epochs=20).withColumn("split", fx.split_of())
-    return out.filter(F.col("split") != "train").select("doc_id", "split", F.size("features").alias("n_dims"))
+    """Vectors fitted on train and test together, every document inferred, read back by split."""
+    return _doc_vectors(spark, sf_dir, F.col("split").isin("train", "test")).select("doc_id", "split", F.size("features").alias("n_dims"))
 
 
 @register("m5_doc_vectors_per_label")
 def m5_doc_vectors_per_label(spark, sf_dir):
-    toks, tf = _doc_tf(spark, sf_dir)
-    vecs, negs = {}, {}
-    for label in CORPUS_LABELS:
-        vecs[label] = _w2v(toks.filter(F.col("lang") == label), 8, 5, name=f"w2v_{label}")
-        negs[label] = V.negative_pool(tf, vecs[label], 32)
-    out = V.doc_vectors_per_label(tf, vecs, 8, negs, epochs=10)
-    return out.select("doc_id", F.size("features").alias("n_dims"))
+    return _per_label(spark, sf_dir).select("doc_id", "split", F.size("features").alias("n_dims"))
+
+
+@register("m5_doc_vector_classification")
+def m5_doc_vector_classification(spark, sf_dir):
+    """K5 -> M5 -> M6 -> E1, E2."""
+    return _classified(_per_label(spark, sf_dir))

@@ -65,6 +65,7 @@ WORD_VECTOR_SIZES = [300, 400, 500, 600, 700, 800, 900, 1000]
 WORD_VECTOR_WINDOWS = [5, 9, 11, 13, 17]
 DOC_VECTOR_SIZES = [100, 200, 300, 400, 500, 600, 700, 800]
 DOC_VECTOR_WINDOWS = [5, 7, 9, 11, 15]
+DOC_VECTOR_MIN_COUNT = 10
 CONTEXT_SIZES = [500, 100, 700]
 CONTEXT_WINDOWS = [4, 10]
 CONTEXT_SKIPPED = (700, 10)
