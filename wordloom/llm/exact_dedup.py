@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from wordloom.operators.ranking import materialize
 from wordloom.session import scratch_path
 
-BUCKET_KEYS = 32_768    # distinct hashes that a bucket may hold
+BUCKET_KEYS = 32_768    # distinct hashes that a bucket may hold ...
+MAX_BUCKETS = 1 << 17   # ... or more, so that there are about so many buckets at most
 HOT_ROWS = 1_000        # from here on a hash's rows are combined before they move
 HOT_KEYS = 100_000      # no more than so many hashes count as hot
 SLOTS = 20              # a directory of at most 2**SLOTS slots is broadcast
@@ -44,10 +45,12 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[int, list[t
     """(depth, [(bucket, its leading bits, its local depth)]) for distinct hashes ``keys.h``.
 
     Buckets cover all hashes.  The counts that decide a split come from all
-    keys; one row per candidate bucket reaches the driver, which is at most
-    four times the number of keys over ``capacity``.
+    keys; one row per candidate bucket reaches the driver, at most about four
+    times ``MAX_BUCKETS``.
     """
-    depth = max(0, (2 * keys.count() // capacity).bit_length())
+    total = keys.count()
+    capacity = max(capacity, total // MAX_BUCKETS)
+    depth = max(0, (2 * total // capacity).bit_length())
     counts: dict[tuple[int, int], int] = {}
     for p, n in keys.groupBy(_leading(F.col("h"), depth)).count().collect():
         for bits in range(depth + 1):

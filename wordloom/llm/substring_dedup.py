@@ -179,8 +179,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["code", "n"])
 
     counts = np.zeros(1 << bits, np.int64)
-    for r in src.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        counts[r["code"]] = r["n"]
+    found = src.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["code"].to_numpy()] = found["n"].to_numpy()
     groups = spark.sparkContext.broadcast(prefix_groups(counts, group_suffixes))       # 2**bits numbers
     chunks = max(1, size // chunk_bytes)
     dealt = src.withColumn("chunk", F.pmod(F.xxhash64("text", "doc_id"), F.lit(chunks)).cast("int"))
