@@ -5,7 +5,8 @@ bitset with one bit for each amount of free space says which amounts are on
 offer; its lowest bit at or above a piece's length names the fullest bin that
 takes the piece.  If none does and all bins are in use, the fullest one closes
 first.  A piece is placed the moment it is read, so a task's memory is its open
-bins, whatever the number of rows.
+bins, whatever the number of rows.  Pieces come in order of falling length, which
+Spark's sort provides: the long ones open the bins that the short ones fill.
 
 Null text counts as empty.  A document's ids are its tokens and the end id, so
 an empty one is the single end id.  Only documents longer than a sequence are
@@ -28,7 +29,7 @@ from wordloom.operators.ranking import materialize
 
 SEQUENCE = 1024
 END_ID = 2
-OPEN_BINS = 512             # open bins of a packing task
+OPEN_BINS = 32_768          # open bins of a packing task
 PIECES_PER_TASK = 32_768    # pieces shorter than a sequence that a task packs, about
 CACHED_WORDS = 1_000_000    # a tokenising process forgets its cache beyond this many pre-tokens
 
@@ -173,7 +174,8 @@ def assign_sequences(pieces: DataFrame, seq_len: int = SEQUENCE, open_bins: int
     short = pieces.filter(F.col("length") < seq_len).count()
     tasks = max(1, -(-short // pieces_per_task))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.withColumn("__at", order).repartition(tasks, "__at").sortWithinPartitions("__at", "doc_id", "piece")
+    dealt = pieces.withColumn("__at", order).repartition(tasks, "__at").sortWithinPartitions(
+        F.col("length").desc(), "__at", "doc_id", "piece")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
 
