@@ -31,7 +31,7 @@ SEQUENCE = 1024
 END_ID = 2
 OPEN_BINS = 32_768          # open bins of a packing task
 PIECES_PER_TASK = 32_768    # pieces shorter than a sequence that a task packs, about
-CACHED_WORDS = 1_000_000    # a tokenising process forgets its cache beyond this many pre-tokens
+CACHED_WORDS = 400_000      # a tokenising task forgets its cache beyond this many pre-tokens
 
 # Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -87,7 +87,7 @@ class TokenCache(dict):
 
 @lru_cache(maxsize=2)
 def token_cache(tokenizer_path: str | None) -> TokenCache:
-    """The cache of this process; later tasks of a reused worker go on with it."""
+    """The tokenizer of this process, loaded once; a task empties the cache when it ends."""
     return TokenCache(tokenizer_path)
 
 
@@ -125,6 +125,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
             if with_ids:
                 out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
+        cache.clear()
 
     return src.mapInArrow(run, T.StructType(fields))
 
