@@ -36,8 +36,11 @@ def test_char_wb_short_word_once(spark):
 
 
 def test_char_ngrams_cross_word_borders(spark):
-    df = spark.createDataFrame([("ab  c",)], "text string").select(T.char_array("text").alias("c"))
-    assert sorted(df.select(T.char_ngrams("c", 2, 2)).first()[0]) == sorted(["ab", "b ", " c"])
+    from wordloom.operators.vocab import char_ngram_tf
+    df = spark.createDataFrame([(1, "ab  c"), (2, ""), (3, "😀é😀é")], "doc_id long, text string").select("doc_id", T.char_text("text").alias("text"))
+    got = {(r.doc_id, r.term): r.tf for r in char_ngram_tf(df, 2, 3).collect()}
+    assert got == {(1, "ab"): 1, (1, "b "): 1, (1, " c"): 1, (1, "ab "): 1, (1, "b c"): 1,
+                   (3, "😀é"): 2, (3, "é😀"): 1, (3, "😀é😀"): 1, (3, "é😀é"): 1}
 
 
 def test_alpha_flag(spark):
@@ -61,3 +64,46 @@ def test_stopwords(spark):
 
 def test_strip_id_suffix_every_occurrence(spark):
     assert one(spark, T.strip_id_suffix("text"), "a.txt.txt") == "a"
+
+
+# One row per treebank rule, worked out by hand: (rule, text, tokens).
+TREEBANK_GOLDEN = [
+    ("opening quote at the start", '"one two', "`` one two"),
+    ("opening quote after a blank or bracket", 'a "b c', "a `` b c"),
+    ("colon or comma before no digit", "a:b,c 3,000", "a : b , c 3,000"),
+    ("comma before a digit stays", "1,2:3", "1,2:3"),
+    ("ellipsis", "wait...what", "wait ... what"),
+    ("other punctuation", "a;b @c #d $5 6% &e", "a ; b @ c # d $ 5 6 % & e"),
+    ("final full stop", "the end.", "the end ."),
+    ("full stop inside a word stays", "e.g. this", "e.g . this"),
+    ("question and exclamation marks", "who?me!", "who ? me !"),
+    ("apostrophe at a word's end", "dogs' tails", "dogs ' tails"),
+    ("brackets", "f(x)[y]{z}<w>", "f ( x ) [ y ] { z } < w >"),
+    ("double dash", "one--two", "one -- two"),
+    ("closing quote", 'say "hi" now', "say `` hi '' now"),
+    ("possessive and short verbs", "it's i'm he'd ok", "it 's i 'm he 'd ok"),
+    ("longer short verbs", "we'll they're i've don't go", "we 'll they 're i 've do n't go"),
+    ("cannot", "i cannot go", "i can not go"),
+    ("d'ye", "d'ye see", "d 'ye see"),
+    ("gimme", "gimme that", "gim me that"),
+    ("gonna", "it is gonna rain", "it is gon na rain"),
+    ("gotta", "i gotta go", "i got ta go"),
+    ("lemme", "lemme see", "lem me see"),
+    ("more'n", "more'n enough", "more 'n enough"),
+    ("wanna", "i wanna go", "i wan na go"),
+    ("'tis", "so 'tis true", "so 't is true"),
+    ("'twas", "so 'twas true", "so 't was true"),
+    ("words that only contain them stay", "cannots regotta", "cannots regotta"),
+]
+
+
+def test_treebank_rules_one_by_one(spark):
+    df = spark.createDataFrame([(t,) for _, t, _ in TREEBANK_GOLDEN], "text string")
+    got = [r[0] for r in df.select(T.treebank_text("text")).collect()]
+    assert got == [want for _, _, want in TREEBANK_GOLDEN]
+
+
+def test_whitespace_is_unicode(spark):
+    text = "a\u00a0b\u2003c\u3000d\x1ce\x85f\u2028g\x0bh"
+    assert one(spark, T.tokens_ws("text"), text) == text.split()
+    assert one(spark, T.normalize_text("text"), text) == " ".join(text.split())

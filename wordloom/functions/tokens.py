@@ -14,7 +14,7 @@ from wordloom.schema import EDIT_LETTERS, STOP_WORDS
 __all__ = [
     "WORD_CLASS", "tokens_ws", "tokens_word", "tokens_word2", "treebank_text",
     "tokens_treebank", "normalize_text", "stopword_filter", "word_ngrams",
-    "char_array", "char_ngrams", "char_wb_ngrams", "strip_id_suffix", "alpha_flag",
+    "char_text", "char_windows", "char_wb_ngrams", "strip_id_suffix", "alpha_flag",
     "edit1_variants", "TREEBANK_RULES", "treebank_sql",
 ]
 
@@ -64,6 +64,17 @@ TREEBANK_RULES = [
     (r'"', r" '' "),
     (r"([^' ])('s|'m|'d|') ", r"\1 \2 "),
     (r"([^' ])('ll|'re|'ve|n't) ", r"\1 \2 "),
+    # words written as one
+    (r"(?i)\b(can)(not)\b", r" \1 \2 "),
+    (r"(?i)\b(d)('ye)\b", r" \1 \2 "),
+    (r"(?i)\b(gim)(me)\b", r" \1 \2 "),
+    (r"(?i)\b(gon)(na)\b", r" \1 \2 "),
+    (r"(?i)\b(got)(ta)\b", r" \1 \2 "),
+    (r"(?i)\b(lem)(me)\b", r" \1 \2 "),
+    (r"(?i)\b(more)('n)\b", r" \1 \2 "),
+    (r"(?i)\b(wan)(na)\b", r" \1 \2 "),
+    (r"(?i) ('t)(is)\b", r" \1 \2 "),
+    (r"(?i) ('t)(was)\b", r" \1 \2 "),
 ]
 
 
@@ -85,10 +96,10 @@ def treebank_text(text, lower: bool = True) -> Column:
     t = _col(text)
     if lower:
         t = F.lower(t)
-    t = F.concat(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(" "))
+    t = F.concat(F.trim(F.regexp_replace(t, SPACE + "+", " ")), F.lit(" "))
     for pattern, repl in TREEBANK_RULES:
         t = F.regexp_replace(t, pattern, _java_repl(repl))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, SPACE + "+", " "))
 
 
 def tokens_treebank(text, lower: bool = True) -> Column:
@@ -99,12 +110,12 @@ def tokens_treebank(text, lower: bool = True) -> Column:
 def treebank_sql(expr: str, lower: bool = True) -> str:
     """The same chain as DuckDB SQL, for oracle queries."""
     t = f"lower({expr})" if lower else expr
-    t = f"trim(regexp_replace({t}, '\\s+', ' ', 'g')) || ' '"
+    t = f"trim(regexp_replace({t}, '{SPACE}+', ' ', 'g')) || ' '"
     for pattern, repl in TREEBANK_RULES:
         p = pattern.replace("'", "''")
         r = repl.replace("'", "''")
         t = f"regexp_replace({t}, '{p}', '{r}', 'g')"
-    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({t}, '{SPACE}+', ' ', 'g'))"
 
 
 def normalize_text(text) -> Column:
@@ -140,25 +151,14 @@ def word_ngrams(tokens, lo: int, hi: int, sep: str = " ") -> Column:
     return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
 
 
-def char_array(text) -> Column:
-    """T8 input: characters of the lower-cased text, runs of two or more whitespace as one space."""
-    return F.split(F.regexp_replace(F.lower(_col(text)), SPACE + "{2,}", " "), "")
+def char_text(text) -> Column:
+    """T8 input: the lower-cased text, runs of two or more whitespace characters as one space."""
+    return F.regexp_replace(F.lower(_col(text)), SPACE + "{2,}", " ")
 
 
-def char_ngrams(chars, lo: int, hi: int) -> Column:
-    """Character n-grams across word borders from a ``char_array`` column (see word_ngrams
-    on passing a computed column)."""
-    chars = _col(chars)
-    n_chr = F.size(chars)
-
-    def grams(n):
-        return F.when(
-            n_chr >= n,
-            F.transform(F.sequence(F.lit(1), n_chr - n + 1),
-                        lambda i: F.array_join(F.slice(chars, i, n), "")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
+def char_windows(text, hi: int) -> Column:
+    """The ``hi`` characters (fewer at the end) from every position of a text, in one scan of it."""
+    return F.regexp_extract_all(_col(text), F.lit(f"(?s)(?=(.{{1,{hi}}}))."), F.lit(1))
 
 
 def char_wb_ngrams(word, lo: int, hi: int) -> Column:

@@ -98,18 +98,16 @@ def word_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", text:
              .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def char_ngram_counts(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", chars: str = "chars") -> DataFrame:
+def char_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """T8 counted: (doc, term, tf) for character n-grams lo..hi across word borders.
 
-    Each position of the ``chars`` array gives one string of ``hi`` characters,
-    cut out in the document's own row; the n-grams are its prefixes.
+    Windows of ``hi`` characters are counted first; the n-grams are prefixes of
+    the distinct windows, weighted with their count.
     """
-    c = F.col(chars)
-    cut = F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array_join(F.slice(c, i, hi), ""))
-    long = docs.filter(F.size(c) > 0).select(doc, F.explode(cut).alias("win"))
-    grams = long.select(doc, F.explode(F.array(*[
-        F.when(F.length("win") >= n, F.substring("win", 1, n)) for n in range(lo, hi + 1)])).alias("term"))
-    return grams.filter(F.col("term").isNotNull()).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    long = docs.select(doc, F.explode(T.char_windows(text, hi)).alias("win")).groupBy(doc, "win").agg(F.count(F.lit(1)).alias("n"))
+    grams = long.select(doc, "n", F.explode(F.array_compact(F.array(*[
+        F.when(F.length("win") >= n, F.substring("win", 1, n)) for n in range(lo, hi + 1)]))).alias("term"))
+    return grams.groupBy(doc, "term").agg(F.sum("n").alias("tf"))
 
 
 def char_wb_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,8 +121,8 @@ def char_wb_ngram_tf(docs: DataFrame, lo: int, hi: int, doc: str = "doc_id", tex
 def ngram_tf(docs: DataFrame, group: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, term, tf) of one feature group of the n-gram classifier, all on treebank-joined text."""
     if group == "char":
-        chars = by_doc(docs, doc).select(doc, T.char_array(T.treebank_text(text)).alias("chars"))
-        return char_ngram_counts(chars, *CHAR_NGRAM_RANGE, doc=doc)
+        chars = by_doc(docs, doc).select(doc, T.char_text(T.treebank_text(text)).alias("text"))
+        return char_ngram_tf(chars, *CHAR_NGRAM_RANGE, doc=doc)
     if group == "char_wb":
         return char_wb_ngram_tf(docs, *CHAR_NGRAM_RANGE, doc=doc, text=text)
     return word_ngram_tf(docs, *WORD_NGRAM_RANGES[group], doc=doc, text=text)
