@@ -73,6 +73,6 @@ def test_held_out_documents(spark):
 
 
 def test_features_of_a_word():
-    assert X.word_features("abc") == ["<abc>", "<abc", "abc>"]
+    assert X.word_features("abc") == ["<abc>", "<abc", "abc>"] and "<abcde" in X.word_features("abcdef")
     f = X.Features(["<abc>", "abc>"])
     assert f.text("ABC, abc 1") == {0, 1} and f.text(None) == set()

@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 from wordloom.operators.ranking import materialize
 
 MAX_ROWS = 12_000       # labelled rows that the classifiers are fitted on, at most
-MAX_FEATURES = 2_048
+MAX_FEATURES = 4_096
 MIN_DOCS = 5            # rows of the sample that a feature must be in
-NGRAMS = (4, 5)
+NGRAMS = (4, 6)
 FOLDS = 3
-REG = 2e-3
+REG = 1e-3
 CACHED_WORDS = 300_000  # a task forgets its words' features beyond this many
 
 WORD = re.compile(r"[^\W\d_]+")
