@@ -7,3 +7,11 @@ whole chain.
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a session works
+# from any folder and on executors that do not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
