@@ -1,3 +1,5 @@
+import re
+import textwrap
 from math import log, sqrt
 from collections import Counter
 
@@ -68,3 +70,50 @@ def test_empty(spark):
     assert S.scan(files, S.template_table(spark)).count() == 0
     some = spark.createDataFrame([("a", MIT)], "path string, text string")
     assert S.scan(some, S.template_table(spark).limit(0)).first()["license"] is None
+
+
+FULL = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC", "MPL-2.0"]
+FSF = """Copyright (C) 2019 Some Author <some@author.example>
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {0} as published by
+the Free Software Foundation, either version {1} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {0} for more details.
+
+You should have received a copy of the GNU {0}
+along with this program.  If not, see <http://www.gnu.org/licenses/>."""
+
+
+def test_full_texts_and_headers(spark):
+    texts, names = dict(S.full_texts()[len(S.HEADERS):]), [("GPL-3.0", "General Public License", 3), ("GPL-2.0", "General Public License", 2),
+                                                          ("LGPL-2.1", "Lesser General Public License", 2.1), ("AGPL-3.0", "Affero General Public License", 3)]
+    code = "\n\ndef f(x):\n    return x + 1\n" + "".join(f"value_{i} = call(value_{i - 1}, other)\n" for i in range(60))
+    rows = []
+    for name in FULL:
+        body = re.sub(r"<year>|<copyright holders>|<owner>|<copyright notice>", "2021 Jane Doe and others", texts[name])
+        for width in (40, 72, 10_000):
+            rows.append((f"{name}-{width}/LICENSE", name, True, "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))))
+        rows.append((f"{name}-72/src/main.c", name, False, "int main() { return 0; }"))
+    commented = "".join(f"# {line}\n" for line in texts["MIT"].splitlines())
+    rows.append(("own/mit.py", "MIT", False, commented + code))
+    for name, title, version in names:
+        header = FSF.format(title, version)
+        rows.append((f"own/{name}.py", name, False, "#!/usr/bin/python\n" + "".join(f"# {line}\n" for line in header.splitlines()) + code))
+        rows.append((f"own/{name}.c", name, False, "/*\n" + "".join(f" * {line}\n" for line in header.splitlines()) + " */" + code))
+    rows.append(("own/title.txt", "GPL-1.0-or-later", False, "GNU GENERAL PUBLIC LICENSE\n" + code))
+    rows.append(("none/prose.txt", None, False, "the license of the software and of the work is in the hands of the public and of the authors " * 40))
+    files = spark.createDataFrame([(p, t) for p, _, _, t in rows], "path string, text string")
+    got = {r["path"]: r for r in S.scan(files, S.template_table(spark)).collect()}
+    assert {p: (r["license"], r["is_license_file"]) for p, r in got.items()} == {p: (name, whole) for p, name, whole, _ in rows}
+    assert all(got[f"{name}-72/src/main.c"]["inherited_from"] == f"{name}-72" for name in FULL)
+
+
+def test_leading_comment():
+    assert S.leading_comment("/* a\n b\n\n c */\n// d\n\nint x; // e") == "/* a\n b\n\n c */\n// d"
+    assert S.leading_comment('"""a\nb\n"""\nx = 1') == '"""a\nb\n"""'
+    assert S.leading_comment("plain\n# no") == S.leading_comment("") == ""

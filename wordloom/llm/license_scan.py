@@ -1,12 +1,17 @@
 """Licence scan: sparse TF-IDF cosine against templates, and inheritance along directories.
 
-1. Every text is cut into statements (lines, and sentences within them).  A
-   statement and a template are sparse TF-IDF vectors; the inverse document
-   frequency of each template word comes from all statements of all files, and a
-   word that no template has weighs as one seen once.
-2. A file's own licence is the template with the largest cosine of its
-   statements, if it reaches ``MIN_COSINE``.  A file in which matched statements
-   hold at least ``FILE_SHARE`` of the words is a licence file, otherwise they are a header.
+1. Every text is compared three times: as a whole, by its leading comment block,
+   and by its statements (lines, and sentences within them).  Each of these and
+   each template is a sparse TF-IDF vector; the inverse document frequency of a
+   template word comes from all statements of all files, and a word that no
+   template has weighs as one seen once.  Wrapped lines make no difference to the
+   first two, whose templates are the full licence texts (``licenses/``) and the
+   headers that the licences ask for; a whole file may also be a single statement.
+2. A file's own licence is that of the whole file if its cosine reaches
+   ``FILE_COSINE``, else that of the comment block if it reaches ``HEADER_COSINE``,
+   else the template with the largest cosine of its statements, if that reaches
+   ``MIN_COSINE``.  A file that matches as a whole, or in which matched statements
+   hold at least ``FILE_SHARE`` of the words, is a licence file, otherwise they are a header.
 3. A licence file speaks for its directory.  A file without a licence of its own
    takes that of the nearest directory above it, by a join of directories with
    their ancestors.
@@ -26,7 +31,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from math import log, sqrt
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +41,8 @@ from pyspark.sql import types as T
 from wordloom.operators.ranking import materialize
 
 MIN_COSINE = 0.6
+HEADER_COSINE = 0.75    # of a leading comment block with a header or a full text
+FILE_COSINE = 0.85      # of a whole file with any template
 FILE_SHARE = 0.5
 
 # Statements by which licences name themselves (licence, statement).
@@ -52,9 +61,11 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("GPL-1.0-or-later", "GNU General Public License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("LGPL-2.0-or-later", "GNU Lesser General Public License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
@@ -62,6 +73,33 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# What licences ask to be put at the start of source files.
+GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}
+as published by the Free Software Foundation, {version}. This program is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+{name} for more details. You should have received a copy of the GNU {name} along with this program. {where}"""
+GNU_LICENSES = [("AGPL-3.0", "Affero General Public License", "3"), ("GPL-2.0", "General Public License", "2"),
+                ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"),
+                ("LGPL-3.0", "Lesser General Public License", "3")]
+GNU_VERSIONS = ["either version {v} of the License, or (at your option) any later version", "version {v} of the License"]
+GNU_WHERE = ["If not, see <https://www.gnu.org/licenses/>.",
+             "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."]
+HEADERS = [(license_, GNU_HEADER.format(name=name, version=version.format(v=v), where=where))
+           for license_, name, v in GNU_LICENSES for version in GNU_VERSIONS for where in GNU_WHERE] + [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+     with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+     applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+     WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+     permissions and limitations under the License."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+     not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+]
+
+# how a line of a comment begins; the second group opens a comment of several lines
+COMMENT = re.compile(r"\s*(?:(#|//|--|;|%|<\?|\.\.|dnl\b|rem\b)|(/\*|<!--|\(\*|\{-|\"\"\"|'''))", re.I)
+CLOSES = {"/*": "*/", "<!--": "-->", "(*": "*)", "{-": "-}", '"""': '"""', "'''": "'''"}
+LINE = re.compile(r"[^\n]+")
+
 STATEMENT = re.compile(r"\n|(?<=[.!?;])\s+")
 TERM = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
@@ -74,6 +112,32 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license string, statement string")
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the headers and of the full licence texts."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return HEADERS + [(f.name.removesuffix(".txt"), f.read_text()) for f in files]
+
+
+def leading_comment(text: str) -> str:
+    """The comments that a text begins with; blank lines do not end them."""
+    end, closes = 0, None
+    for line in LINE.finditer(text):
+        s = line.group()
+        if closes is None and s.strip():
+            opened = COMMENT.match(s)
+            if not opened:
+                break
+            closes, s = CLOSES.get(opened.group(2)), s[opened.end():]
+        if closes and closes in s:
+            closes = None
+        end = line.end()
+    return text[:end]
+
+
+def counted(text: str) -> Counter:
+    return Counter(m.group() for m in TERM.finditer(text.lower()))
+
+
 class Matcher:
     """Cosine of statements with templates; built from template rows and the counts of their words."""
 
@@ -117,6 +181,31 @@ class Matcher:
         return name, -score
 
 
+class TextMatcher(Matcher):
+    """The same for long texts, given as the counts of their words."""
+
+    def __init__(self, templates: list[tuple[str, str]], statements: int, counts: dict[str, int], least: float):
+        super().__init__(templates, statements, counts, least)
+        self.row = {w: k for k, w in enumerate(self.by_term)}
+        self.matrix = np.zeros((len(self.row), len(self.vectors)))
+        for w, k in self.row.items():
+            for i, y in self.by_term[w]:
+                self.matrix[k, i] = y
+
+    def best(self, words: Counter) -> tuple[str, float] | None:
+        if self.telling.isdisjoint(words):
+            return None
+        weights = {w: n * self.idf.get(w, self.other) for w, n in words.items()}
+        square = sum(x * x for x in weights.values())
+        known = [w for w in weights if w in self.row]
+        scores = np.array([weights[w] for w in known]) @ self.matrix[[self.row[w] for w in known]] / sqrt(square)
+        found = [(-round(float(scores[i]), 9), self.vectors[i]) for i in np.flatnonzero(scores >= self.least - 1e-12)]
+        if not found:
+            return None
+        score, name = min(found)
+        return name, -score
+
+
 def word_counts(texts: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
     """(number of statements, statements that have each word of the vocabulary), over all texts."""
     def run(batches):
@@ -135,27 +224,39 @@ def word_counts(texts: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str,
     return found.pop("", 0), {w: found.get(w, 0) for w in vocabulary}
 
 
-def own_licenses(files: DataFrame, templates: DataFrame, text_col: str = "text", least: float = MIN_COSINE) -> DataFrame:
-    """Add ``own_license``, ``cosine``, ``matched_share`` (of the words) to every row."""
+def own_licenses(files: DataFrame, templates: DataFrame, text_col: str = "text", least: float = MIN_COSINE,
+                 full: list[tuple[str, str]] = ()) -> DataFrame:
+    """Add ``own_license``, ``cosine``, ``matched_share`` (of the words) to every row.
+
+    With ``full`` (headers and full texts) files are also compared as a whole and by their leading comment block.
+    """
     rows = sorted((r["license"], r["statement"]) for r in templates.select("license", "statement").collect())  # a parameter, not data
     vocabulary = {w for _, s in rows for w in terms(s)}
-    statements, counts = word_counts(files.select(F.col(text_col).cast("string")), vocabulary)
-    matcher = Matcher(rows, statements, counts, least)
+    statements, counts = word_counts(files.select(F.col(text_col).cast("string")), vocabulary.union(*(terms(s) for _, s in full)))
+    matcher = Matcher(rows, statements, {w: counts[w] for w in vocabulary}, least)
+    headers = TextMatcher(list(full), statements, {w: counts[w] for _, s in full for w in terms(s)}, HEADER_COSINE) if full else None
+    wholes = TextMatcher([*rows, *full], statements, counts, FILE_COSINE) if full else None
     given = files.drop("own_license", "cosine", "matched_share")
     names = given.columns
     schema = T.StructType([*given.schema.fields, T.StructField("own_license", T.StringType()),
                            T.StructField("cosine", T.DoubleType()), T.StructField("matched_share", T.DoubleType())])
 
     def scan(text):
-        total, matched, best = 0, 0, None
+        total, matched, best, telling = 0, 0, None, False
         for s in STATEMENT.split(text or ""):
             words = terms(s)
             total += len(words)
+            telling = telling or bool(full) and not (headers.telling.isdisjoint(words) and wholes.telling.isdisjoint(words))
             found = matcher.best(words)
             if found:
                 matched += len(words)
                 if best is None or (-found[1], found[0]) < (-best[1], best[0]):
                     best = found
+        if telling:
+            found = wholes.best(counted(text))
+            if found:
+                return *found, 1.0
+            best = headers.best(counted(leading_comment(text))) or best
         return (*(best or (None, None)), matched / total if total else 0.0)
 
     def run(batches):
@@ -177,11 +278,16 @@ def directory_of(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_col: str = "text",
-         least: float = MIN_COSINE, file_share: float = FILE_SHARE) -> DataFrame:
-    """All rows with own_license, cosine, is_license_file, license and inherited_from (a directory); the text is left out."""
+         least: float = MIN_COSINE, file_share: float = FILE_SHARE,
+         full: list[tuple[str, str]] | None = None) -> DataFrame:
+    """All rows with own_license, cosine, is_license_file, license and inherited_from (a directory); the text is left out.
+
+    ``full`` are headers and full texts to compare with, by default those of ``full_texts``.
+    """
     names = ["own_license", "cosine", "matched_share", "is_license_file", "license", "inherited_from"]
     kept = [c for c in files.columns if c not in (*names, text_col)]
-    found = own_licenses(files.select(*kept, text_col), templates, text_col, least).drop(text_col)
+    found = own_licenses(files.select(*kept, text_col), templates, text_col, least,
+                         full_texts() if full is None else full).drop(text_col)
     rows = materialize(found.withColumn("is_license_file", F.col("own_license").isNotNull() & (F.col("matched_share") >= file_share))
                        .withColumn("__dir", directory_of(F.col(path_col))), "licenses")
     speaks = (rows.filter(F.col("is_license_file") & F.col("__dir").isNotNull()).groupBy(F.col("__dir").alias("above"))
