@@ -104,3 +104,19 @@ def test_trigrams_and_scripts():
     again, _ = L.trigrams(random.sample(words, 3))
     assert sorted(bucket) == sorted(again)
     assert [L.NAMES[L.script_of(w)] for w in ("the", "über", "слово", "日本", "ไทย", "ꬰ")] == ["Latin", "Latin", "Cyrillic", "Han", "Thai", "Other"]
+
+
+@pytest.mark.parametrize("n", [4, 127, 128, 129, 200, 255, 256, 300])
+def test_labels_of_many_languages(n):
+    scores = np.full((2 * n, n), -50, np.float32)
+    scores[np.arange(2 * n), np.arange(2 * n) // 2] = 0       # two words of each language
+    got = L.viterbi(scores, np.array([0, n]), np.array([n, n]))
+    assert got.tolist() == (np.arange(2 * n) // 2).tolist()
+
+
+def test_more_languages_than_a_byte_has(spark):
+    words = ["".join(chr(97 + (i * 7 + k * (i // 26 + 1)) % 26) for k in range(12)) + chr(97 + i // 26) * 3 for i in range(200)]
+    rows = [(i, f"l{i:03}", (w + " ") * 20) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = L.identify(docs, L.train(docs)).select("lang", "lang_pred", "score", "spans").collect()
+    assert len(got) == 200 and all(r["lang"] == r["lang_pred"] and r["score"] == 1 and len(r["spans"]) == 1 for r in got)

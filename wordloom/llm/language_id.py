@@ -136,12 +136,13 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch:
     """
     order = np.argsort(-counts, kind="stable")
     starts, counts = starts[order], counts[order]
-    back = np.empty(scores.shape, np.int8)
-    labels = np.empty(len(scores), np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)[None, :]
+    kind = np.min_scalar_type(scores.shape[1])      # holds every label
+    back = np.empty(scores.shape, kind)
+    labels = np.empty(len(scores), kind)
+    own = np.arange(scores.shape[1], dtype=kind)[None, :]
     live = np.searchsorted(-counts, -np.arange(1, counts[0] + 1), "right") if len(counts) else np.empty(0, int)
     best = scores[starts[: live[0]]] if len(live) else scores[:0]
-    final = np.empty(len(counts), np.int8)
+    final = np.empty(len(counts), kind)
     for t in range(1, len(live)):
         n = live[t]
         if n < len(best):
@@ -151,7 +152,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch:
         jump = np.take_along_axis(best, top[:, None], 1) - switch
         moved = jump > best
         at = starts[:n] + t
-        back[at] = np.where(moved, top[:, None].astype(np.int8), own)
+        back[at] = np.where(moved, top[:, None].astype(kind), own)
         best = np.where(moved, jump, best) + scores[at]
     if len(live):
         final[: len(best)] = best.argmax(axis=1)
