@@ -95,3 +95,33 @@ def test_open_bins_is_best_fit():
             live = {s: 64 - f for f, held in bins.by_free.items() for s in held}
             assert sorted(live.values()) == sorted(brute.values())
             brute = live
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  b\n", "中文<|endoftext|> 😀 ", "<|endoftext| >", "<<|endoftext|>>",
+         "don't <|ENDOFTEXT|> ", "word <|endoftext|>\n\n" * 600]
+
+
+@pytest.mark.parametrize("name", ["op1_best_fit_packing", "pipeline"])
+def test_added_tokens_equal_the_tokenizer_as_loaded(spark, tmp_path, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from wordloom.llm import queries
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode(ADDED[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = [*ADDED, *TEXTS]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if name == "pipeline":
+        rows = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    else:
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    check(rows, 1024)
+    mine = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in rows}
+    want = {}
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        for s, n in packing.cut(len(ids), 1024):
+            want[i, s] = n, zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())
+    assert mine == want

@@ -8,6 +8,10 @@ first.  A piece is placed the moment it is read, so a task's memory is its open
 bins, whatever the number of rows.  Pieces come in order of falling length, which
 Spark's sort provides: the long ones open the bins that the short ones fill.
 
+With ``added_tokens`` ids are those of the library's ``encode`` for the file as
+it is: the strings of its added tokens (``<|endoftext|>``) get their own ids.
+Without, they are ordinary text, as with the library's ``encode_special_tokens``.
+
 Null text counts as empty.  A document's ids are its tokens and the end id, so
 an empty one is the single end id.  Only documents longer than a sequence are
 cut: their first piece takes the remainder, all others are full.  Repeated rows
@@ -60,7 +64,7 @@ def byte_letters() -> dict[int, int]:
 class TokenCache(dict):
     """Pre-token -> its ids as little-endian bytes; a miss is tokenised on its own, as the vocabulary's pattern allows."""
 
-    def __init__(self, tokenizer_path: str | None):
+    def __init__(self, tokenizer_path: str | None, added_tokens: bool = False):
         import re
 
         import regex
@@ -68,8 +72,14 @@ class TokenCache(dict):
         if tokenizer_path is None:
             import public_tokenizers
             tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-        # the model alone: texts are split here, and strings of special tokens are ordinary text
-        self.tokenize, self.letters = Tokenizer.from_file(tokenizer_path).model.tokenize, byte_letters()
+        # the model alone: texts are split here, at added tokens and then by the pattern
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenize, self.letters = tokenizer.model.tokenize, byte_letters()
+        added = {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()} if added_tokens else {}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that strip or stand alone are not split here")
+        self.added = {s: i.to_bytes(4, "little") for s, (i, _) in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.beyond, self.latin, self.any = re.compile("[^\x00-ɏ]"), _latin_split(), regex.compile(SPLIT)
 
     def __missing__(self, word: str):
@@ -80,8 +90,13 @@ class TokenCache(dict):
     def ids(self, text: str, end_id: int) -> np.ndarray:
         if len(self) > CACHED_WORDS:
             self.clear()
-        words = (self.any if self.beyond.search(text) else self.latin).findall(text)
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little"), "<u4")
+        split = self.any if self.beyond.search(text) else self.latin
+        if self.at_added and self.at_added.search(text):
+            found = [self.added[s] if k % 2 else b"".join(map(self.__getitem__, split.findall(s)))
+                     for k, s in enumerate(self.at_added.split(text))]
+        else:
+            found = map(self.__getitem__, split.findall(text))
+        return np.frombuffer(b"".join(found) + end_id.to_bytes(4, "little"), "<u4")
 
 
 def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
@@ -91,7 +106,8 @@ def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQUENCE, end_id: int = END_ID,
-                    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+                    added_tokens: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids]); reads nothing but the two columns."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = [T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
@@ -102,7 +118,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
 
     def run(batches):
         import pyarrow as pa
-        cache = TokenCache(tokenizer_path)
+        cache = TokenCache(tokenizer_path, added_tokens)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -190,7 +206,7 @@ def assign_sequences(pieces: DataFrame, seq_len: int = SEQUENCE, open_bins: int
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQUENCE, end_id: int = END_ID,
          open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text",
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pack whole documents: one row per piece with its place, and its ids if ``with_ids``."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, seq_len, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_path, seq_len, end_id, id_col, text_col, with_ids, added_tokens), "pieces")
     return assign_sequences(pieces, seq_len, open_bins)

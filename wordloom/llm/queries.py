@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 @register("op1_best_fit_packing")
 def op1_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 @register("op2_exact_dedup", """
