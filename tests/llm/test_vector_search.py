@@ -55,8 +55,8 @@ def test_cases(spark):
 
 
 def test_bounds_hold_and_prune():
-    data = rows(3000, seed=3)
-    v = np.floor(64 * np.array([x for _, x in data]))
+    walk = np.cumsum(np.random.default_rng(3).normal(size=(3000, 64)), axis=1)
+    v = np.floor(64 * walk / np.linalg.norm(walk, axis=1, keepdims=True))
     for s in V.resolutions(64):
         f = V.segment_features(v, s)
         bound = V.squared_gap(f[:50], f)
