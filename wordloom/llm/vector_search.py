@@ -5,9 +5,9 @@ segment of ``l`` components, with mean ``mu`` and deviation ``s`` (both of the
 population), two vectors differ by at least ``l ((mu_a - mu_b)² + (s_a - s_b)²)``,
 so squared distances have a lower bound at every resolution, and with the norms
 ``<a, b> = (|a|² + |b|² - d²) / 2`` has an upper one.  A block of queries
-meets a block of candidates: exact scores of the candidates that look best at the
-coarsest resolution give every query a floor, finer and finer bounds
-drop the candidates below it, and the survivors get exact integer scores.
+meets a block of candidates chunk by chunk, the most promising chunk at the coarsest
+resolution first; the last of a query's best scores so far is its floor, finer and
+finer bounds drop the candidates below it, and the survivors get exact integer scores.
 
 Queries are dealt into blocks of ``QUERY_BLOCK`` and every block of queries meets
 every block of candidates in one task: both sides are joined by (query block,
@@ -36,7 +36,7 @@ EVERY = 20              # ids divisible by it are queries
 QUERY_BLOCK = 4096
 CANDIDATE_BLOCK = 16_384
 LEAST_BLOCK = 1024      # no smaller blocks of candidates are made to use more tasks
-PAIRS = 1 << 21         # bounds held at a time
+CHUNK = 1024             # queries and candidates whose bounds are held at a time
 SALTS = 16
 SAFE = float(1 << 53)   # integers up to here are exact as doubles
 
@@ -59,81 +59,85 @@ def resolutions(width: int) -> list[int]:
     return out
 
 
-def squared_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of every row of a to every row of b."""
-    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T), 0.0)
+def most_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of every row with every row, from their segment features.
 
+    The least squared distance, the sum of ``l ((mu_a - mu_b)² + (s_a - s_b)²)``, is ``|a|² +
+    |b|² - 2 <features of a, features of b>``, since a segment's squares sum up to ``l (mu² +
+    s²)``.  So the features' inner product is the score that belongs to the least distance.
+    """
+    return a @ b.T
 
-def exact_scores(queries: np.ndarray, candidates: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of the pairs (q[i], c[i]); the components are whole numbers."""
-    if not len(q):
-        return np.empty(0, np.int64)
+
+def exact_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Integer inner products of every query with every candidate; the components are whole numbers."""
     most = max(np.abs(queries).max(initial=0.0), 1.0) * max(np.abs(candidates).max(initial=0.0), 1.0) * max(queries.shape[1], 1)
-    out = np.empty(len(q), np.int64)
-    step = max(1, PAIRS // max(queries.shape[1], 1))
-    for a in range(0, len(q), step):
-        x, y = queries[q[a: a + step]], candidates[c[a: a + step]]
-        if most < SAFE:
-            out[a: a + step] = np.einsum("ij,ij->i", x, y).astype(np.int64)
-        else:
-            for i, (r, s) in enumerate(zip(x, y)):
-                total = sum(int(m) * int(n) for m, n in zip(r.tolist(), s.tolist()))
-                out[a + i] = min(max(total, -1 << 63), (1 << 63) - 1)
-    return out
+    if most < SAFE:
+        return (queries @ candidates.T).astype(np.int64)
+    whole = [[int(x) for x in row] for row in candidates.tolist()]
+    out = [[sum(m * n for m, n in zip([int(x) for x in q], c)) for c in whole] for q in queries.tolist()]
+    return np.array([[min(max(x, -1 << 63), (1 << 63) - 1) for x in row] for row in out], np.int64).reshape(len(queries), len(candidates))
 
 
 def kept(query: np.ndarray, score: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
     """Places of every query's ``top`` best pairs, best first; ties to the smaller id."""
-    order = np.lexsort((ids, -score.astype(np.float64), query)) if (np.abs(score) < SAFE).all() else np.array(
-        sorted(range(len(query)), key=lambda i: (query[i], -int(score[i]), ids[i])), np.int64)
+    order = np.lexsort((ids, ~score, query))        # ~score falls as the score rises, without overflow
     begin = np.flatnonzero(np.concatenate(([True], np.diff(query[order]) != 0))) if len(order) else np.empty(0, np.int64)
     place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
     return order[place < top]
 
 
 def search_block(query_ids, queries, ids, candidates, top: int):
-    """(query id, candidate id, score) of the best candidates in the block of every query, and how many pairs were scored."""
-    width, levels = queries.shape[1], resolutions(queries.shape[1]) if queries.shape[1] else []
+    """(query id, candidate id, score) of the best candidates in the block of every query, and how many pairs were scored.
+
+    Queries and candidates are cut into chunks of close coarse means.  A chunk of
+    queries meets the chunks of candidates best bound first, so its floor, the last of
+    its best scores so far, rises early; what finer and finer bounds leave of a
+    chunk (rows and columns with any pair not below the floor) is scored exactly.
+    """
     far = lambda x: np.abs(x).max(initial=0.0) > 1e150      # noqa: E731  squares would overflow: no bounds, all pairs are scored
-    bounded = levels and not far(queries) and not far(candidates)
-    of_query = [segment_features(queries, s) for s in levels] if bounded else []
-    of_candidate = [segment_features(candidates, s) for s in levels] if bounded else []
-    norm_q, norm_c = (queries * queries).sum(axis=1) if bounded else None, (candidates * candidates).sum(axis=1) if bounded else None
-    step, out, scored = max(1, PAIRS // max(len(ids), 1)), [], 0
-    for a in range(0, len(query_ids), step):
-        b = min(a + step, len(query_ids))
-        mine = ids[None, :] == query_ids[a:b, None]
-        if bounded:
-            norms = norm_q[a:b, None] + norm_c[None, :]
-            slack = 1e-9 * norms + 1e-6      # rounding of the bounds, far above their error
-            bound = (norms - squared_gap(of_query[0][a:b], of_candidate[0])) / 2 + slack
-            bound[mine] = -np.inf
-            floor = np.full(b - a, -np.inf)
-            if len(ids) > top:      # a first floor: the candidates of the best coarse bounds, scored exactly
-                near = np.argpartition(-bound, min(4 * top, len(ids) - 1), axis=1)[:, : 4 * top]
-                q, c = np.repeat(np.arange(b - a), near.shape[1]), near.ravel()
-                score = np.where(mine[q, c], -np.inf, exact_scores(queries[a:b], candidates, q, c).astype(float)).reshape(b - a, -1)
-                scored += score.size
-                if score.shape[1] >= top:
-                    floor = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
-            floor -= 1e-6 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)) * 1e-6)
-            q, c = np.nonzero((bound >= floor[:, None]) & ~mine)
-            for fq, fc in zip(of_query[1:], of_candidate[1:]):
-                if len(q) > bound.size // 8:        # many are left: all bounds at once
-                    alive = np.zeros(bound.shape, bool)
-                    alive[q, c] = True
-                    q, c = np.nonzero(alive & ((norms - squared_gap(fq[a:b], fc)) / 2 + slack >= floor[:, None]))
-                else:
-                    gap = fq[a:b][q] - fc[c]
-                    fine = (norms[q, c] - np.einsum("ij,ij->i", gap, gap)) / 2 + slack[q, c]
-                    stay = fine >= floor[q]
-                    q, c = q[stay], c[stay]
-        else:
-            q, c = np.nonzero(~mine)
-        score = exact_scores(queries[a:b], candidates, q, c)
-        scored += len(score)
-        best = kept(q, score, ids[c], top)
-        out.append((query_ids[a:b][q[best]], ids[c[best]], score[best]))
+    levels = [] if not queries.shape[1] or far(queries) or far(candidates) else resolutions(queries.shape[1])
+    if levels:
+        a, b = np.argsort(queries.mean(axis=1), kind="stable"), np.argsort(candidates.mean(axis=1), kind="stable")
+        query_ids, queries, ids, candidates = query_ids[a], queries[a], ids[b], candidates[b]
+    of_query, of_candidate = ([segment_features(x, n) for n in levels] for x in (queries, candidates))
+    most = np.sqrt(max((queries * queries).sum(axis=1).max(initial=0.0), 1.0) * max((candidates * candidates).sum(axis=1).max(initial=0.0), 1.0)) if levels else 0.0
+    slack = 1e-9 * most + 1e-6      # far above the rounding error of a bound
+    out, scored = [], 0
+    for a in range(0, len(query_ids), CHUNK):
+        mine = slice(a, min(a + CHUNK, len(query_ids)))
+        n = mine.stop - a
+        floor = np.full(n, -np.inf)
+        found = (np.empty(0, np.int64),) * 3     # query in the chunk, candidate id, score
+        chunks = [slice(c, min(c + CHUNK, len(ids))) for c in range(0, len(ids), CHUNK)]
+        if levels:
+            # the first resolution of every chunk, from its extremes: the chunks that can hold the best
+            reach = [most_scores(of_query[0][mine], of_candidate[0][c]).max() for c in chunks]
+            chunks = [chunks[i] for i in np.argsort(-np.array(reach), kind="stable")]
+        for c in chunks:
+            rows, cols = np.arange(n), np.arange(c.stop - c.start)
+            for fq, fc in zip(of_query, of_candidate):
+                alive = most_scores(fq[mine][rows], fc[c][cols]) >= floor[rows, None] - slack
+                keep_rows, keep_cols = alive.any(axis=1), alive.any(axis=0)
+                rows, cols = rows[keep_rows], cols[keep_cols]
+                if not len(rows):
+                    break
+            if not len(rows) or not len(cols):
+                continue
+            score = exact_scores(queries[mine][rows], candidates[c][cols])
+            scored += score.size
+            good = (score >= floor[rows, None]) & (ids[c][cols][None, :] != query_ids[mine][rows, None])
+            if good.sum() > 4 * top * len(rows):    # more than the best of this chunk, with all ties of the last, are not needed
+                own = np.where(good, score, np.iinfo(np.int64).min)
+                good &= score >= np.partition(own, score.shape[1] - top, axis=1)[:, [score.shape[1] - top]]
+            i, j = np.nonzero(good)
+            found = tuple(np.concatenate(x) for x in zip(found, (rows[i], ids[c][cols][j], score[i, j])))
+            best = kept(*(found[k] for k in (0, 2, 1)), top)
+            found = tuple(x[best] for x in found)
+            last = np.flatnonzero(np.bincount(found[0], minlength=n) == top)
+            if len(last):
+                floor[last] = found[2][np.searchsorted(found[0], last, "right") - 1]
+        out.append((query_ids[mine][found[0]], found[1], found[2]))
     if not out:
         return (np.empty(0, np.int64),) * 3, scored
     return tuple(np.concatenate(x) for x in zip(*out)), scored
