@@ -54,6 +54,54 @@ def test_arguments(spark, arguments, tool, invalid, text):
     json.loads(r["json"])
 
 
+DEEP = '{"a":' * 100_000 + "1" + "}" * 100_000
+
+
+@pytest.mark.parametrize("arguments, schema, invalid", [
+    ('{"a":"\\ud800"}', "{}", "arguments hold half a character"), (DEEP, "{}", "arguments are nested too deeply"), ("{}", "{", "the tool's schema is not JSON"),
+    ("{}", "[]", "$: unsupported schema"), ("{}", '{"unevaluatedItems":false}', "$: unsupported keyword unevaluatedItems"), ("{}", "false", "$: nothing is allowed"),
+    ("{}", '{"required":3}', "the tool's schema is no JSON schema"), ('{"a":{}}', '{"properties":{"a":{"$ref":"#"}}}', None), ("{}", '{"$ref":"#"}', "the tool's schema does not end")])
+def test_unreadable(spark, arguments, schema, invalid):
+    messages = spark.createDataFrame([(*call(1, 0, "k", arguments), "n", 1)], SCHEMA)
+    [r] = C.link(messages, spark.createDataFrame([("add", schema)], "tool string, schema string")).collect()
+    assert r["invalid"] == invalid
+    got = json.loads(r["json"])["tool_calls"][0]["arguments"] if arguments is not DEEP else arguments
+    assert got == (arguments if invalid in C.UNREADABLE else json.loads(arguments))
+
+
+VALUES = [None, True, False, 0, 1, 1.0, 1.5, -3, 10, "", "a", "ab", "abc", "é", [], [1], [1, 1.0], [1, "a"], [[]], {}, {"a": 1}, {"a": 1, "b": 2}, {"x1": "s"}]
+#: A schema, and Python's own notion of what it allows.
+RULES = [
+    ({"type": "integer"}, lambda v: type(v) is int or type(v) is float and v == int(v)), ({"const": 1}, lambda v: v == 1 and not isinstance(v, bool)),
+    ({"exclusiveMinimum": 1}, lambda v: not number(v) or v > 1), ({"exclusiveMaximum": 1}, lambda v: not number(v) or v < 1), ({"multipleOf": 0.5}, lambda v: not number(v) or v * 2 == int(v * 2)),
+    ({"minLength": 2}, lambda v: not isinstance(v, str) or len(v) >= 2), ({"maxLength": 1}, lambda v: not isinstance(v, str) or len(v) <= 1), ({"pattern": "^a"}, lambda v: not isinstance(v, str) or v[:1] == "a"),
+    ({"minItems": 1}, lambda v: not isinstance(v, list) or len(v) >= 1), ({"maxItems": 1}, lambda v: not isinstance(v, list) or len(v) <= 1), ({"uniqueItems": True}, lambda v: v != [1, 1]),
+    ({"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, lambda v: not isinstance(v, list) or v in ([], [1], [1, "a"])), ({"contains": {"type": "array"}}, lambda v: not isinstance(v, list) or v == [[]]),
+    ({"minProperties": 1}, lambda v: v != {}), ({"maxProperties": 1}, lambda v: not isinstance(v, dict) or len(v) < 2), ({"dependentRequired": {"a": ["b"]}}, lambda v: v != {"a": 1}),
+    ({"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": {"const": 1}}, lambda v: v != {"a": 1, "b": 2}), ({"propertyNames": {"maxLength": 1}}, lambda v: v != {"x1": "s"}),
+    ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, lambda v: isinstance(v, str) or not number(v) or v >= 5), ({"allOf": [{"minimum": 1}, {"maximum": 1}]}, lambda v: not number(v) or v == 1),
+    ({"oneOf": [{"minimum": 1}, {"maximum": 1}]}, lambda v: number(v) and v != 1), ({"not": {"type": "string"}}, lambda v: not isinstance(v, str)),
+    ({"if": {"type": "number"}, "then": {"minimum": 2}, "else": {"type": "string"}}, lambda v: v >= 2 if number(v) else isinstance(v, str)),
+    ({"$defs": {"s": {"type": "string"}}, "$ref": "#/$defs/s"}, lambda v: isinstance(v, str)), ({"enum": [[1], {"a": 1.0}]}, lambda v: v in ([1], {"a": 1}))]
+
+
+def number(v):
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+def test_schema_keywords():
+    for schema, allows in RULES:
+        for v in VALUES:
+            assert (C.problem(v, schema) is None) == bool(allows(v)), (schema, v)
+
+
+def test_one_escaping_rule(spark):
+    text = "".join(map(chr, range(32))) + '"\\\x7f\u2028'
+    [r] = link(spark, [(1, 0, "assistant", text, text, text, json.dumps({"a": text}))])
+    assert r["json"] == json.dumps({"content": text, "role": "assistant", "tool_calls": [{"arguments": {"a": text}, "id": text, "name": text}]},
+                                   sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def test_order_is_topological(spark):
     r = random.Random(4)
     rows, edges = [], []
@@ -78,6 +126,7 @@ def test_cycles_end(spark):
     rows = [call(1, 0, "p", '{"a":{"$result":"q"}}'), result(1, 1, "p"), call(1, 2, "q", '{"a":{"$result":"p"}}'), result(1, 3, "q"),
             (1, 4, "user", "hi", None, None, None), call(1, 5, "self", '{"a":{"$result":"self"}}'), result(1, 6, "self")]
     got = {(r["kind"], r["call_id"]): r for r in link(spark, rows)}
+    assert all((r["key"], r["step"]) == (r["turn"], 0) for r in got.values() if r["cyclic"])
     assert any(r["cyclic"] for k, r in got.items() if k[1] in "pq" and k[1]) and not got["message", None]["cyclic"]
 
 

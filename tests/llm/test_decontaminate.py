@@ -105,3 +105,12 @@ def test_every_document_that_quotes_an_item_is_found(spark):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     quoted = {d["doc_id"] for d in docs.collect() for b in items.collect() if b["text"] in d["text"]}
     assert quoted and quoted <= {x["doc_id"] for x in D.find(docs, items).collect()}
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(5,1)"])
+def test_item_ids_of_any_type(spark, kind):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, "x " + text), (2, "y")], "doc_id long, text string")
+    items = spark.createDataFrame([("7", text)], "item_id string, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+    found = D.find(docs, items)
+    assert dict(found.dtypes)["item_id"] == kind and [str(float(r["item_id"])) for r in found.collect()] == ["7.0"]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -41,7 +42,7 @@ def test_mixed_text_has_spans(spark, model):
         assert inside > 0.8 * (b - a)
 
 
-CASES = [None, "", "  \n", "12 34 !!", "İİ the and of", "the " * 200_000, "日本語のテキスト", "und der die"]
+CASES = ["½ ² ① Ⅷ ⅷ ٣ 〇", "हिन्दी भाषा में लिखा", "é́", "\u0301", None, "", "  \n", "12 34 !!", "İİ the and of", "the " * 200_000, "日本語のテキスト", "und der die"]
 
 
 def test_cases(spark, model):
@@ -51,10 +52,20 @@ def test_cases(spark, model):
     assert got.columns == ["doc_id", "text", "__x", "lang_pred", "score", "spans"]
     rows = got.collect()
     for r in rows:
-        letters = bool(r["text"] and L.WORD.search(r["text"]))
+        letters = any(unicodedata.category(c)[0] == "L" for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and bool(r["spans"]) == letters
         assert (r["score"] > 0) == letters
-    assert [r["lang_pred"] for r in rows if r["doc_id"] in (4, 5, None)] == ["en"] * 4
+    assert [r["lang_pred"] for r in rows if r["doc_id"] in (8, 9, None)] == ["en"] * 4
+
+
+def test_words_keep_their_marks():
+    assert L.WORD.findall("हिन्दी, भाषा½x²y 3é\u0301z") == ["हिन्दी", "भाषा", "x", "y", "é\u0301z"]
+
+
+def test_other_names(spark, model):
+    docs = spark.createDataFrame([(1, "the and of", 7.5, "mine")], "doc_id long, text string, score double, lang_pred string")
+    [r] = L.identify(docs, model, spans=False, added=("a", "b", "c")).collect()
+    assert r.asDict() == {"doc_id": 1, "text": "the and of", "score": 7.5, "lang_pred": "mine", "a": "en", "b": 1.0}
 
 
 def test_nothing_to_learn_from(spark):

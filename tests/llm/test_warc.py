@@ -64,3 +64,13 @@ def test_a_damaged_payload_is_noticed(spark, pages):
 
 def test_empty(spark, pages):
     assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    ids = ["a:b>c", "", "null", "~", "é\r\n 1", "x%20y", None]
+    rows = [(i, "u", "same") for i in ids]
+    got = warc.archive(spark.createDataFrame(rows, "page_id string, url string, html string")).select("page_id", "record_type", "refers_to").collect()
+    assert sorted((r["page_id"] for r in got), key=repr) == sorted(ids, key=repr)
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {(i, "revisit" if i != "" else "response", "" if i != "" else None) for i in ids}
+    number = warc.archive(spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id int, url string, html string"))
+    assert dict(number.dtypes)["refers_to"] == "int" and {r["refers_to"] for r in number.collect()} == {None, 1}

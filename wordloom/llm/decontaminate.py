@@ -30,8 +30,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wordloom.llm.words import LETTERS, batches as slices, mix, word_hashes
+from wordloom.llm.tables import release
+from wordloom.llm.words import LETTERS, column_slices, mix, word_hashes
 
 # 1: the word is looked at, 0: it is ignored.
 MASKS = ("111111", "1110111", "1111011", "1101111", "1111101", "11101011")
@@ -122,6 +124,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = T.StructType([*keys, T.StructField("item_id", items.schema["item_id"].dataType),
                            *[T.StructField(c, T.IntegerType()) for c in ("doc_start", "item_start", "words", "matches")]])
     names = [f.name for f in schema.fields]
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
     def verified(doc: np.ndarray, seeds: Seeds, hits) -> list[tuple]:
         """Stretches of one document, from its hits (document word, item, item word)."""
@@ -143,12 +146,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         def run(batches, held=held):
             import pyarrow as pa
             seeds = Seeds([i for i, _ in held.value], [t for _, t in held.value], min_words)
-            item_type = pa.array(seeds.ids).type if seeds.ids else pa.int64()
             for batch in batches:
                 row, rest = [], []
-                texts = batch.column(len(keys)).to_pylist()
-                for a, b in slices(texts):
-                    words, first, *_ = word_hashes(normalised(texts[a:b]))
+                for a, _, texts in column_slices(batch.column(len(keys)), 4 << 20):
+                    words, first, *_ = word_hashes(normalised(texts))
                     every = [np.concatenate(x) for x in zip(*seeds.hits(words))]
                     if not every:
                         continue
@@ -164,6 +165,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 cols.append(pa.array([seeds.ids[s[0]] for s in rest], item_type))
                 cols += [pa.array([s[c] for s in rest], pa.int32()) for c in range(1, 5)]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            release()
 
         rows = src.mapInArrow(run, schema)
         found = rows if found is None else found.unionByName(rows)

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.tables import small_table
 from wordloom.operators.ranking import materialize
 from wordloom.session import scratch_path
 
@@ -59,7 +60,8 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[int, list[t
     leaves, level, bits = [], [0], 0
     while level:
         over = [p for p in level if counts.get((bits, p), 0) > capacity and bits < 60]
-        leaves += [(bits, p) for p in level if p not in set(over)]
+        full = set(over)
+        leaves += [(bits, p) for p in level if p not in full]
         if over and bits == depth:  # the directory doubles: overfull buckets are counted one bit deeper
             depth += 1
             split = keys.filter(_leading(F.col("h"), bits).isin(over))
@@ -73,8 +75,7 @@ def directory(keys: DataFrame, capacity: int = BUCKET_KEYS) -> tuple[int, list[t
 
 def slots(keys: DataFrame, depth: int, buckets: list[tuple[int, int, int]]) -> DataFrame:
     """The directory as a table (slot, bucket) of 2**depth rows."""
-    spark = keys.sparkSession
-    leaf = spark.createDataFrame(buckets, "bucket int, prefix long, bits int")
+    leaf = small_table(keys.sparkSession, buckets, "bucket int, prefix long, bits int")
     span = F.pow(F.lit(2.0), F.lit(depth) - F.col("bits")).cast("long")
     return leaf.select("bucket", F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1))
                        .alias("slot"))

@@ -20,20 +20,23 @@ not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.words import batches as slices
+from wordloom.llm.tables import release
+from wordloom.llm.words import column_slices
 
 BUCKETS = 1 << 16       # trigrams are counted in so many buckets per language
 SWITCH = 8.0            # penalty of a change of language, in nats
 SCRIPT_SHARE = 0.01     # a language uses a script if this share of its letters is in it
 CACHED_WORDS = 200_000  # a task forgets its word scores beyond this many words
+SLICE_BYTES = 1 << 20   # of texts that are labelled at a time, with up to eight languages; fewer with more
 
 # First and last code point of scripts.
 SCRIPTS = [
@@ -48,10 +51,21 @@ SCRIPTS = [
 ]
 NAMES = list(dict.fromkeys(s[0] for s in SCRIPTS)) + ["Other"]
 
-WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def _ranges(kind: str) -> str:
+    """The code points of a general category, as the inside of a character class."""
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(points), lambda x: x[1] - x[0])]
+    return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
+
+
+_LETTERS, _MARKS = _ranges("L"), _ranges("M")
+#: A letter, then letters and the marks that combine with them.
+WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+
+
 def script_of(word: str) -> int:
     """Index into NAMES of the script of a word's first letter."""
     c = ord(word[0])
@@ -88,10 +102,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         import pyarrow as pa
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            langs = batch.column(0).to_pylist()
+            for a, b, texts in column_slices(batch.column(1)):
                 of: dict[str, Counter] = {}
-                for lang, text in zip(langs[a:b], texts[a:b]):
+                for lang, text in zip(langs[a:b], texts):
                     of.setdefault(lang, Counter()).update(lower(WORD.findall(text)))
                 for lang, counts in of.items():
                     counts.pop("", None)
@@ -107,17 +121,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "at", "n"])
+        release()
+
+    def fit(of_lang):
+        """One language's row of the model, from at most ``width`` counts."""
+        import pyarrow as pa
+        total = np.zeros(width)
+        np.add.at(total, of_lang.column("at").to_numpy(), of_lang.column("n").to_numpy())
+        grams, scripts = total[:BUCKETS] + 0.1, total[BUCKETS:]
+        logp = np.log(grams / grams.sum()).astype(np.float32)
+        uses = scripts / max(scripts.sum(), 1) >= SCRIPT_SHARE
+        return pa.table({"lang": of_lang.column("lang")[:1], "logp": pa.array([logp.tobytes()]), "uses": pa.array([uses.tobytes()])})
 
     counted = src.mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    rows = counted.groupBy("lang").agg(F.collect_list(F.struct("at", "n")).alias("n")).orderBy("lang").collect()
-    table = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        for at, n in r["n"]:
-            table[i, at] = n
-    grams, scripts = table[:, :BUCKETS] + 0.1, table[:, BUCKETS:]
-    share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
+    rows = counted.groupBy("lang").applyInArrow(fit, "lang string, logp binary, uses binary").collect()
+    rows.sort(key=lambda r: r["lang"].encode())
     return {"langs": [r["lang"] for r in rows],
-            "logp": np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32), "uses": share >= SCRIPT_SHARE}
+            "logp": np.stack([np.frombuffer(r["logp"], np.float32) for r in rows]) if rows else np.empty((0, BUCKETS), np.float32),
+            "uses": np.stack([np.frombuffer(r["uses"], bool) for r in rows]) if rows else np.empty((0, len(NAMES)), bool)}
 
 
 def score_words(model: dict, words: list[str]) -> np.ndarray:
@@ -184,22 +205,26 @@ class WordScores:
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float = SWITCH,
-             spans: bool = True) -> DataFrame:
+             spans: bool = True, added: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
     """Add ``lang_pred``, ``score`` and, if asked, ``spans`` to every row.
 
     The score is the share of the text's letters that are labelled with
     ``lang_pred``.  A span is (lang, start, end) in characters of the text.  The
-    added names replace columns that the input may have under them.
+    added names (``added`` gives others) replace columns that the input may have under
+    them; all other columns pass as they came.
     """
-    given = docs.drop("lang_pred", "score", "spans")
-    src = given.withColumn("__text", F.col(text_col).cast("string"))
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    given = docs.drop(*added[: 2 + spans])
+    plain = isinstance(given.schema[text_col].dataType, T.StringType)
+    src = given if plain else given.withColumn(_unused(given, "text"), F.col(text_col).cast("string"))
+    extra = [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]
     if spans:
-        extra.append(T.StructField("spans", T.ArrayType(T.StructType([
+        extra.append(T.StructField(added[2], T.ArrayType(T.StructType([
             T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()),
             T.StructField("end", T.IntegerType())]))))
     schema, langs, names = T.StructType([*given.schema.fields, *extra]), model["langs"], given.columns
+    text_at = names.index(text_col) if plain else len(names)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # fixed size: languages x buckets
+    most = max(1 << 14, SLICE_BYTES * 8 // max(8, len(langs)))  # a slice's scores are words x languages
 
     def label(texts, scores):
         """(language, score, spans) of each text of a slice."""
@@ -234,18 +259,27 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
         import pyarrow as pa
         scores = WordScores(shared.value)
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            found = list(chain.from_iterable(label(texts[a:b], scores) for a, b in slices(texts)))
+            found = list(chain.from_iterable(label(texts, scores) for _, _, texts in column_slices(batch.column(text_at), most)))
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 more.append(pa.array([[dict(zip(("lang", "start", "end"), s)) for s in f[2]] for f in found],
                                      pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more],
                                              [*names, *(f.name for f in extra)])
+        del scores
+        release()
 
     return src.mapInArrow(run, schema)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the quarter of documents that training never sees."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import terms as P
+from wordloom.llm.tables import small_table
 from wordloom.operators.ranking import materialize
 
 TOP = 50
@@ -337,11 +338,11 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, id_col: str = "doc
         near = Window.partitionBy("query", F.pmod(F.spark_partition_id(), F.lit(SALTS))).orderBy(*order)
         found = found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= top)
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= top)
-        names = spark.createDataFrame(list(enumerate(ids)), _named(item_type))
+        names = small_table(spark, list(enumerate(ids)), _named(item_type))
         found = materialize(found.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score"), "ranked")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], _named(item_type)).selectExpr(
+        out = small_table(spark, [], _named(item_type)).selectExpr(
             "item_id", "0 AS rank", "CAST(0 AS bigint) AS doc_id", "CAST(0 AS bigint) AS score")
     return out
 

@@ -109,7 +109,7 @@ def terms(statement: str) -> list[str]:
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, statement string")
+    return small_table(spark, TEMPLATES, "license string, statement string")
 
 
 def full_texts() -> list[tuple[str, str]]:

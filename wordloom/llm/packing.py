@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.llm.tables import release
 from wordloom.operators.ranking import materialize
 
 SEQUENCE = 1024
@@ -134,6 +135,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, seq_len:
             if with_ids:
                 out, names = [*out, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
+        cache.clear()
+        release()
 
     return src.mapInArrow(run, T.StructType(fields))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import (chat, decontaminate, divergence, exact_dedup, language_id, lexical, license_scan, packing, simhash,
                           substring_dedup, toxicity, vector_search, warc)
+from wordloom.llm.tables import small_table
 from wordloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +75,7 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 
 @register("op4_chat_formatting")
 def op4_chat_formatting(spark, sf_dir):
-    tools = spark.createDataFrame([("reply", REPLY)], "tool string, schema string")
+    tools = small_table(spark, [("reply", REPLY)], "tool string, schema string")
     return chat.link(conversation_messages(table(spark, sf_dir, "conversations")), tools)
 
 

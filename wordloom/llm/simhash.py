@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from wordloom.llm.graph import components
 from wordloom.llm.words import word_blocks
+from wordloom.llm.tables import release
 from wordloom.operators.ranking import materialize
 
 SHINGLE = 4
@@ -78,6 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(t.as_py().encode().lower(), shingle) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())],
                                              ["doc_id", "k1", "k2", "fp"])
+        release()
 
     return src.mapInArrow(run, schema)
 

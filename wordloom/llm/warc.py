@@ -16,7 +16,7 @@ all pages share leaves a task once.  The joins are on narrow rows, and adaptive
 execution splits a digest that most records share.
 
 Defined cases: a null payload counts as empty.  A null id comes after all others
-and is written as ``null``.  Of rows equal in id, URL and payload the first is
+and is written as ``~``; ids of any type are percent-encoded in headers.  Of rows equal in id, URL and payload the first is
 the response, the others revisit it.  A null URL leaves out its header line;
 line ends in a URL are percent-encoded.  An empty table gives empty archives.
 Further columns are not read.
@@ -56,7 +56,8 @@ def _line(name: str, value) -> Column:
 
 
 def record_name(page: Column, time: Column) -> Column:
-    return F.concat(F.lit(f"<{NAME}"), F.coalesce(page.cast("string"), F.lit("null")),
+    """``<urn:page:ID>``, with ``:n`` behind the id of a repeated row; a null id is ``~``, which no encoded id holds."""
+    return F.concat(F.lit(f"<{NAME}"), F.coalesce(F.url_encode(page.cast("string")), F.lit("~")),
                     F.when(time > 1, F.concat(F.lit(":"), time)).otherwise(F.lit("")), F.lit(">"))
 
 
@@ -109,28 +110,33 @@ def field(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def page_of(name: Column) -> Column:
-    return F.regexp_extract(name, rf"^<{NAME}(-?[0-9]+)", 1).try_cast("long")
+def page_of(name: Column, id_type="long") -> Column:
+    """The id in a record's name, as ``id_type``."""
+    found = F.regexp_extract(name, rf"^<{NAME}([^:>]*)", 1)
+    return F.when(found != "~", F.url_decode(found)).cast(id_type)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: header, its fields, and size and digest of its checked payload."""
+def read_records(spark: SparkSession, path: str, id_type="long") -> DataFrame:
+    """One row per record: header, its fields, and size and digest of its checked payload.
+
+    Headers hold ids as text; ``id_type`` is the type that they had.
+    """
     records = spark.read.parquet(f"{path}/records")
     known = read_contents(spark, path).select("sha256", "bytes", "sha1")
     return records.join(known, "sha256").select(
-        page_of(field("WARC-Record-ID")).alias("page_id"), field("WARC-Type").alias("record_type"),
-        field("WARC-Target-URI").alias("url"), page_of(field("WARC-Refers-To")).alias("refers_to"),
+        page_of(field("WARC-Record-ID"), id_type).alias("page_id"), field("WARC-Type").alias("record_type"),
+        field("WARC-Target-URI").alias("url"), page_of(field("WARC-Refers-To"), id_type).alias("refers_to"),
         F.col("bytes").alias("payload_bytes"),
         _checked(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")),
                  "a header's digest does not match its payload", F.col("sha1")).alias("payload_digest"), "header")
 
 
-def restore(spark: SparkSession, path: str) -> DataFrame:
+def restore(spark: SparkSession, path: str, id_type="long") -> DataFrame:
     """(page_id, record, payload): the exact bytes of every record, and the payload that it stands for."""
     joined = spark.read.parquet(f"{path}/records").join(read_contents(spark, path), "sha256")
     end = F.lit("\r\n").cast("binary")
     block = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
-    return joined.select(page_of(field("WARC-Record-ID")).alias("page_id"),
+    return joined.select(page_of(field("WARC-Record-ID"), id_type).alias("page_id"),
                          F.concat(F.col("header").cast("binary"), end, block, end, end).alias("record"), "payload")
 
 
@@ -138,4 +144,4 @@ def archive(pages: DataFrame, **how) -> DataFrame:
     """Write the archive to the shared folder and read its records back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archive(pages, path, **how)
-    return read_records(pages.sparkSession, path)
+    return read_records(pages.sparkSession, path, pages.schema[how.get("id_col", "page_id")].dataType)

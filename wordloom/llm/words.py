@@ -83,6 +83,21 @@ def batches(texts: list, most: int = 4 << 20):
         yield begin, len(texts)
 
 
+def column_slices(column, most: int = 1 << 20):
+    """(from, to, texts) of slices of an Arrow string column with about ``most`` bytes each, one text at least.
+
+    Only one slice at a time is held as Python strings.
+    """
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(int(np.searchsorted(ends, before + most, "right")), at + 1)
+        yield at, upto, column.slice(at, upto - at).to_pylist()
+        at = upto
+
+
 def word_blocks(data: bytes, size: int = 4 << 20):
     """Lists of the words of one text, so many bytes of it at a time; no word is cut."""
     at = 0
