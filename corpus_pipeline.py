@@ -20,9 +20,10 @@ MIN_LANGUAGE_SHARE = 0.5    # of a text's letters that one language must label
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which one language labels most letters; text without a letter goes."""
     seen = F.coalesce(~language_id.held_out(), F.lit(True))
-    found = language_id.identify(docs, language_id.train(docs.filter(seen)), spans=False)
-    kept = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SHARE)
-    return found.filter(kept).select(*docs.columns)
+    longest = max(map(len, docs.columns))
+    language, share = "language".ljust(longest + 1, "_"), "share".ljust(longest + 1, "_")     # names that no column has
+    found = language_id.identify(docs, language_id.train(docs.filter(seen)), spans=False, added=(language, share, ""))
+    return found.filter((F.col(language) != language_id.UND) & (F.col(share) >= MIN_LANGUAGE_SHARE)).drop(language, share)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
