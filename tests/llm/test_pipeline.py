@@ -1,6 +1,7 @@
 """The pipeline's stages against brute-force versions, each on its own input."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from wordloom.llm import decontaminate, language_id
@@ -85,3 +86,14 @@ def test_run_and_registration(spark, steps):
     for _, stage in P.STAGES:
         empty = materialize(stage(spark, empty, SF), "empty")
         assert empty.count() == 0
+
+
+def test_columns_of_the_user_survive(spark):
+    """Columns under the names that operators use, in any stage that returns the columns of its input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns(
+        {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("score", "lang_pred", "spans", "h", "fp", "__k1", "keep", "language")})
+    given = {r["doc_id"]: r for r in docs.collect()}
+    for _, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), "stage")
+        rows = docs.collect()
+        assert rows and all(r == given[r["doc_id"]] for r in rows)
