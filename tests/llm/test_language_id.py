@@ -59,7 +59,9 @@ def test_cases(spark, model):
 
 
 def test_words_keep_their_marks():
-    assert L.WORD.findall("हिन्दी, भाषा½x²y 3é\u0301z") == ["हिन्दी", "भाषा", "x", "y", "é\u0301z"]
+    for beyond in ("", " 😀 𝒜b"):       # with and without characters beyond the basic plane
+        text = "हिन्दी, भाषा½x²y 3é\u0301z" + beyond
+        assert L.word_pattern(text).findall(text) == ["हिन्दी", "भाषा", "x", "y", "é\u0301z"] + ["𝒜b"] * bool(beyond)
 
 
 def test_other_names(spark, model):

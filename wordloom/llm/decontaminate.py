@@ -178,7 +178,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Only the row hashes of contaminated rows move; a row goes if its id and
     text are those of a contaminated one.
     """
-    k1, k2 = F.xxhash64(F.col(id_col), F.col(text_col)), F.hash(F.col(text_col), F.col(id_col))
-    named = docs.withColumns({"__k1": k1, "__k2": k2})
-    bad = find(named, benchmark, id_col, text_col, key_cols=("__k1", "__k2"), **how)
-    return named.join(bad.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    keys = [name.ljust(max(map(len, docs.columns)) + 1, "_") for name in ("k1", "k2")]      # names that no column has
+    hashes = F.xxhash64(F.col(id_col), F.col(text_col)), F.hash(F.col(text_col), F.col(id_col))
+    named = docs.withColumns(dict(zip(keys, hashes)))
+    bad = find(named, benchmark, id_col, text_col, key_cols=tuple(keys), **how)
+    return named.join(bad.select(*keys).distinct(), keys, "left_anti").select(*docs.columns)

@@ -54,16 +54,26 @@ NAMES = list(dict.fromkeys(s[0] for s in SCRIPTS)) + ["Other"]
 UND = "und"
 
 
-def _ranges(kind: str) -> str:
-    """The code points of a general category, as the inside of a character class."""
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+def _ranges(kind: str, first: int, last: int) -> str:
+    """The code points of a general category from ``first`` to ``last``, as the inside of a character class."""
+    points = [c for c in range(first, last + 1) if unicodedata.category(chr(c))[0] == kind]
     runs = [[c for _, c in g] for _, g in groupby(enumerate(points), lambda x: x[1] - x[0])]
     return "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs)
 
 
-_LETTERS, _MARKS = _ranges("L"), _ranges("M")
-#: A letter, then letters and the marks that combine with them.
-WORD = re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
+def _word(last: int):
+    """A letter, then letters and the marks that combine with them, up to a code point."""
+    letters, marks = _ranges("L", 0, last), _ranges("M", 0, last)
+    return re.compile(f"[{letters}][{letters}{marks}]*")
+
+
+# a class with ranges beyond the basic plane is searched range by range, so texts without such characters get one without them
+WORD, BASIC_WORD, BEYOND_BASIC = _word(0x10FFFF), _word(0xFFFF), re.compile("[\U00010000-\U0010ffff]")
+
+
+def word_pattern(text: str):
+    """The pattern that finds the words of ``text``."""
+    return WORD if not text.isascii() and BEYOND_BASIC.search(text) else BASIC_WORD
 
 
 def script_of(word: str) -> int:
@@ -106,7 +116,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
             for a, b, texts in column_slices(batch.column(1)):
                 of: dict[str, Counter] = {}
                 for lang, text in zip(langs[a:b], texts):
-                    of.setdefault(lang, Counter()).update(lower(WORD.findall(text)))
+                    of.setdefault(lang, Counter()).update(lower(word_pattern(text).findall(text)))
                 for lang, counts in of.items():
                     counts.pop("", None)
                     if counts:
@@ -228,7 +238,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
 
     def label(texts, scores):
         """(language, score, spans) of each text of a slice."""
-        words = [WORD.findall(t) if t and langs else [] for t in texts]
+        words = [word_pattern(t).findall(t) if t and langs else [] for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate(([0], np.cumsum(counts)))[:-1]
         flat = lower(chain.from_iterable(words))
@@ -249,7 +259,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
             if spans:
                 mine = best[starts[i]: starts[i] + counts[i]]
                 edge = np.flatnonzero(np.diff(mine)) + 1
-                at = [m.span() for m in WORD.finditer(t)]
+                at = [m.span() for m in word_pattern(t).finditer(t)]
                 for a, b in zip([0, *edge], [*edge, counts[i]]):
                     found.append((langs[mine[a]], at[a][0], at[b - 1][1]))
             out.append((langs[top[i]], float(share[i, top[i]] / total[i]), found))
