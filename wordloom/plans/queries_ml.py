@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from wordloom.functions import tokens as T
 from wordloom.operators import classify as C
 from wordloom.operators import evaluate
+from wordloom.operators import joint_vectors as J
 from wordloom.operators import svm
-from wordloom.operators import vectors as V
 from wordloom.operators.ranking import materialize
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
@@ -26,6 +26,12 @@ from wordloom.schema import (CORPUS_LABELS, DOC_VECTOR_MIN_COUNT, DOC_VECTOR_SIZ
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
 
+# Settings of the original training calls.
+WORD_VECTOR_MIN_COUNT = 5
+WORD_VECTOR_PASSES = 25
+DOC_VECTORS = J.Settings(size=500, window=25, min_count=DOC_VECTOR_MIN_COUNT, passes=50)
+LABEL_VECTORS = J.Settings(size=500, window=25, min_count=DOC_VECTOR_MIN_COUNT, passes=10)
+
 DIM = 64
 CLASSES = 10    # labels 0..9 of ``embeddings``
 
@@ -177,50 +183,43 @@ def _words(spark, sf_dir):
     return materialize(d, "words")
 
 
-def _tf(words):
-    return materialize(words.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(
-        F.count(F.lit(1)).alias("tf")), "term-counts")
-
-
-def _w2v(words, size, window, min_count, name):
-    return V.word_vector_table(V.train_word_vectors(words, size, window, min_count=min_count), name)
-
-
 @register("m1_train_word_vectors")
 def m1_train_word_vectors(spark, sf_dir):
-    d = docs(spark, sf_dir).filter(F.col("doc_id") % 10 < 8).select(T.tokens_word(F.lower("text")).alias("words"))
-    vec = _w2v(d, WORD_VECTOR_SIZES[0], WORD_VECTOR_WINDOWS[0], 5, "w2v")
-    return vec.select("word", F.size("embedding").alias("n_dims"),
-                      r4(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+    """Word vectors of the training documents: 300 dimensions, window 5, min count 5, 25 passes."""
+    d = docs(spark, sf_dir).filter(F.col("doc_id") % 10 < 8).select(
+        F.lit(0).alias("model"), "doc_id", T.tokens_word(F.lower("text")).alias("words"))
+    settings = J.Settings(WORD_VECTOR_SIZES[0], WORD_VECTOR_WINDOWS[0], WORD_VECTOR_MIN_COUNT, WORD_VECTOR_PASSES)
+    return J.train(d, settings, with_docs=False).word_vectors().select("word", "embedding")
 
 
-def _doc_vectors(spark, sf_dir, train_on):
-    """Vectors fitted on the documents that ``train_on`` picks; every document inferred."""
-    words = _words(spark, sf_dir)
-    tf = _tf(words)
-    size = DOC_VECTOR_SIZES[0]
-    fitted = words.filter(train_on)
-    vec = _w2v(fitted, size, DOC_VECTOR_WINDOWS[0], DOC_VECTOR_MIN_COUNT, "w2v")
-    noise = V.noise_table(tf.join(fitted.select("doc_id"), "doc_id", "left_semi"), vec)
-    return materialize(V.infer_doc_vectors(tf, vec, size, noise).join(words.select("doc_id", "lang", "split"), "doc_id"), "doc-vectors")
+def _doc_vectors(spark, sf_dir):
+    """Trained on the training documents (500 dimensions, window 25, min count 10, 50 passes); every document inferred."""
+    words = _words(spark, sf_dir).withColumn("model", F.lit(0))
+    of = words.select("model", "doc_id", "words")
+    trained = J.train(of.join(words.filter("split = 'train'").select("doc_id"), "doc_id", "left_semi").select(*of.columns), DOC_VECTORS)
+    return materialize(J.infer(trained, of).join(words.select("doc_id", "lang", "split"), "doc_id").select(
+        "doc_id", "lang", "split", F.col("embedding").alias("features")), "doc-vectors")
 
 
 def _per_label(spark, sf_dir):
+    """One model per label, trained on the label's training documents (500 dimensions, window 25, 10 passes); every
+    document inferred by all, its vectors joined in label order, zeros where a model knows none of its words."""
     words = _words(spark, sf_dir)
-    tf, size, vecs, noise = _tf(words), DOC_VECTOR_SIZES[0], {}, {}
-    for label in CORPUS_LABELS:
-        own = words.filter((F.col("lang") == label) & (F.col("split") == "train"))
-        vecs[label] = _w2v(own, size, DOC_VECTOR_WINDOWS[0], DOC_VECTOR_MIN_COUNT, f"w2v_{label}")
-        noise[label] = V.noise_table(tf.join(own.select("doc_id"), "doc_id", "left_semi"), vecs[label])
-    out = V.doc_vectors_per_label(tf, vecs, size, noise, epochs=10)
-    return materialize(out.join(words.select("doc_id", "lang", "split"), "doc_id"), "label-vectors")
+    models = F.array(*[F.lit(i) for i in range(len(CORPUS_LABELS))])
+    trained = J.train(words.filter("split = 'train'").select(fx.label_code("lang").cast("int").alias("model"), "doc_id", "words")
+                      .filter(F.col("model").isNotNull()), LABEL_VECTORS)
+    found = J.infer(trained, words.select(F.explode(models).alias("model"), "doc_id", "words"))
+    joined = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "embedding"))).alias("of"))   # one entry per label
+    zeros = F.array_repeat(F.lit(0.0), LABEL_VECTORS.size)
+    features = F.concat(*[F.coalesce(F.try_element_at("of", F.lit(i)), zeros) for i in range(len(CORPUS_LABELS))])
+    return materialize(joined.select("doc_id", features.alias("features")).join(words.select("doc_id", "lang", "split"), "doc_id"), "label-vectors")
 
 
-def _classified(vectors):
+def _classified(vectors, c):
     """Logistic regression on the training vectors; accuracy and macro F1 of every split."""
     d = vectors.withColumn("label_code", fx.label_code("lang").cast("double")).withColumn("features", array_to_vector("features"))
     train = d.filter("split = 'train'")
-    pred = C.logistic_regression(0.1, train.count()).fit(train).transform(d).select(
+    pred = C.logistic_regression(c, train.count()).fit(train).transform(d).select(
         "split", F.col("label_code").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
     pred = materialize(pred, "predictions")
     f1 = None
@@ -232,27 +231,30 @@ def _classified(vectors):
 
 @register("m3_doc_vectors")
 def m3_doc_vectors(spark, sf_dir):
-    return _doc_vectors(spark, sf_dir, F.col("split") == "train").select("doc_id", "split", F.size("features").alias("n_dims"))
+    return _doc_vectors(spark, sf_dir).select("doc_id", "split", "features")
 
 
 @register("m3_doc_vector_classification")
 def m3_doc_vector_classification(spark, sf_dir):
-    """S6, S7 -> M3 -> M6 -> E1, E2."""
-    return _classified(_doc_vectors(spark, sf_dir, F.col("split") == "train"))
+    """S6, S7 -> M3 -> M6 (C = 0.1) -> E1, E2."""
+    return _classified(_doc_vectors(spark, sf_dir), 0.1)
 
 
 @register("m4_doc_vectors_transductive")
 def m4_doc_vectors_transductive(spark, sf_dir):
-    """Vectors fitted on train and test together, every document inferred, read back by split."""
-    return _doc_vectors(spark, sf_dir, F.col("split").isin("train", "test")).select("doc_id", "split", F.size("features").alias("n_dims"))
+    """Trained on train and test together (100 dimensions, window 5, min count 5, 50 passes); the trained vectors, by split."""
+    words = _words(spark, sf_dir).withColumn("model", F.lit(0)).filter(F.col("split").isin("train", "test"))
+    settings = J.Settings(DOC_VECTOR_SIZES[0], DOC_VECTOR_WINDOWS[0], WORD_VECTOR_MIN_COUNT, DOC_VECTORS.passes)
+    trained = J.train(words.select("model", "doc_id", "words"), settings)
+    return trained.doc_vectors().join(words.select("doc_id", "split"), "doc_id").select("doc_id", "split", F.col("embedding").alias("features"))
 
 
 @register("m5_doc_vectors_per_label")
 def m5_doc_vectors_per_label(spark, sf_dir):
-    return _per_label(spark, sf_dir).select("doc_id", "split", F.size("features").alias("n_dims"))
+    return _per_label(spark, sf_dir).select("doc_id", "split", "features")
 
 
 @register("m5_doc_vector_classification")
 def m5_doc_vector_classification(spark, sf_dir):
-    """K5 -> M5 -> M6 -> E1, E2."""
-    return _classified(_per_label(spark, sf_dir))
+    """K5 -> M5 -> M6 (C = 0.01) -> E1, E2."""
+    return _classified(_per_label(spark, sf_dir), 0.01)
