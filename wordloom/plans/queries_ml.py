@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import tokens as T
 from wordloom.operators import classify as C
 from wordloom.operators import evaluate
+from wordloom.operators import alignment
 from wordloom.operators import joint_vectors as J
 from wordloom.operators import svm
 from wordloom.operators.ranking import materialize
@@ -192,6 +194,24 @@ def m1_train_word_vectors(spark, sf_dir):
     return J.train(d, settings, with_docs=False).word_vectors().select("word", "embedding")
 
 
+@register("m2_two_spaces")
+def m2_two_spaces(spark, sf_dir):
+    """Word spaces trained apart on the training and on the other documents (settings of M1), the second turned into the
+    first; every document is the mean of its words' vectors in its own space."""
+    d = docs(spark, sf_dir).select("doc_id", fx.split_of().alias("split"), T.tokens_word(F.lower("text")).alias("words")).withColumn(
+        "model", (F.col("split") != "train").cast("int"))
+    settings = J.Settings(WORD_VECTOR_SIZES[0], WORD_VECTOR_WINDOWS[0], WORD_VECTOR_MIN_COUNT, WORD_VECTOR_PASSES)
+    d = materialize(d, "words")
+    words = J.train(d.select("model", "doc_id", "words"), settings, with_docs=False).word_vectors()
+    own, other = (words.filter(F.col("model") == m).select("word", "embedding") for m in (0, 1))
+    spaces = materialize(own.select(F.lit(0).alias("model"), "*").unionByName(
+        alignment.align(other, own, settings.size).select(F.lit(1).alias("model"), "*")), "spaces")
+    tf = d.select("model", "doc_id", F.explode("words").alias("word")).groupBy("model", "doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    found = tf.join(spaces, ["model", "word"]).select("doc_id", "tf", array_to_vector("embedding").alias("v"))
+    pooled = found.groupBy("doc_id").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("tf").cast("double"))).alias("features"))
+    return pooled.join(d.select("doc_id", "split"), "doc_id").select("doc_id", "split", "features")
+
+
 def _doc_vectors(spark, sf_dir):
     """Trained on the training documents (500 dimensions, window 25, min count 10, 50 passes); every document inferred."""
     words = _words(spark, sf_dir).withColumn("model", F.lit(0))
