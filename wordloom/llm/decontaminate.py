@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wordloom.llm.tables import release
+from wordloom.llm.tables import release, unused_name
 from wordloom.llm.words import LETTERS, column_slices, mix, word_hashes
 
 # 1: the word is looked at, 0: it is ignored.
@@ -178,7 +178,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Only the row hashes of contaminated rows move; a row goes if its id and
     text are those of a contaminated one.
     """
-    keys = [name.ljust(max(map(len, docs.columns)) + 1, "_") for name in ("k1", "k2")]      # names that no column has
+    keys = [unused_name(docs, k) for k in ("__k1", "__k2")]
     hashes = F.xxhash64(F.col(id_col), F.col(text_col)), F.hash(F.col(text_col), F.col(id_col))
     named = docs.withColumns(dict(zip(keys, hashes)))
     bad = find(named, benchmark, id_col, text_col, key_cols=tuple(keys), **how)

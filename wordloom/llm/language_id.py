@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wordloom.llm.tables import release
+from wordloom.llm.tables import release, unused_name
 from wordloom.llm.words import column_slices
 
 BUCKETS = 1 << 16       # trigrams are counted in so many buckets per language
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
     """
     given = docs.drop(*added[: 2 + spans])
     plain = isinstance(given.schema[text_col].dataType, T.StringType)
-    src = given if plain else given.withColumn(_unused(given, "text"), F.col(text_col).cast("string"))
+    src = given if plain else given.withColumn(unused_name(given, "text"), F.col(text_col).cast("string"))
     extra = [T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]
     if spans:
         extra.append(T.StructField(added[2], T.ArrayType(T.StructType([
@@ -282,14 +282,6 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", switch: float
     return src.mapInArrow(run, schema)
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the quarter of documents that training never sees."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

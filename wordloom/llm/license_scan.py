@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.llm.tables import small_table, unused_name
 from wordloom.operators.ranking import materialize
 
 MIN_COSINE = 0.6
@@ -269,7 +270,7 @@ def own_licenses(files: DataFrame, templates: DataFrame, text_col: str = "text",
                 schema_names)
 
     schema_names = schema.names
-    return given.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return given.withColumn(unused_name(given, "__text"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def directory_of(path: Column) -> Column:

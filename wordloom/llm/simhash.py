@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from wordloom.llm.graph import components
 from wordloom.llm.words import word_blocks
-from wordloom.llm.tables import release
+from wordloom.llm.tables import release, unused_name
 from wordloom.operators.ranking import materialize
 
 SHINGLE = 4
@@ -234,8 +234,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
               radius: int = RADIUS) -> DataFrame:
     """The rows that stay: of each component the one with the smallest id (then row hash)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    kept = component_table(rows, radius).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
-    named = docs.withColumns({"__k1": F.xxhash64(F.col(id_col), F.col(text_col)),
-                              "__k2": F.hash(F.col(text_col), F.col(id_col))})
-    stay = named.join(kept, ["__k1", "__k2"], "left_semi")
-    return stay.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    keys = [unused_name(docs, k) for k in ("__k1", "__k2")]
+    kept = component_table(rows, radius).select(*[F.col(k).alias(name) for k, name in zip(("k1", "k2"), keys)]).distinct()
+    hashes = F.xxhash64(F.col(id_col), F.col(text_col)), F.hash(F.col(text_col), F.col(id_col))
+    stay = docs.withColumns(dict(zip(keys, hashes))).join(kept, keys, "left_semi")
+    return stay.dropDuplicates(keys).select(*docs.columns)

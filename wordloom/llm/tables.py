@@ -20,6 +20,14 @@ def small_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release() -> None:
     """Give memory that a finished task held back to the system; workers live on for the next stage's tasks."""
     import ctypes

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wordloom.llm.tables import unused_name
 from wordloom.operators.ranking import materialize
 
 MAX_ROWS = 12_000       # labelled rows that the classifiers are fitted on, at most
@@ -198,7 +199,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", threshold: flo
     added = [f"{c}_prob" for c in model["categories"]] + model["categories"]
     given = docs.drop(*added)
     names = given.columns
-    src = given.withColumn("__text", F.col(text_col).cast("string"))
+    src = given.withColumn(unused_name(given, "__text"), F.col(text_col).cast("string"))
     schema = T.StructType([*given.schema.fields, *[T.StructField(f"{c}_prob", T.DoubleType()) for c in model["categories"]],
                            *[T.StructField(c, T.BooleanType()) for c in model["categories"]]])
     shared = docs.sparkSession.sparkContext.broadcast(model)    # at most MAX_FEATURES numbers a category
