@@ -19,11 +19,12 @@ from wordloom.operators import classify as C
 from wordloom.operators import evaluate
 from wordloom.operators import alignment
 from wordloom.operators import joint_vectors as J
-from wordloom.operators import svm
+from wordloom.operators import kernel_svm as svm
 from wordloom.operators.ranking import materialize
+from wordloom.operators.svm import best_setting, training_rows
 from wordloom.plans import fixtures as fx
 from wordloom.plans.queries import docs, r4, register
-from wordloom.schema import (CORPUS_LABELS, DOC_VECTOR_MIN_COUNT, DOC_VECTOR_SIZES, DOC_VECTOR_WINDOWS, NGRAM_MIN_DF, NUM_RFF, RF_TREES, SVM_CS, SVM_GAMMAS,
+from wordloom.schema import (CORPUS_LABELS, DOC_VECTOR_MIN_COUNT, DOC_VECTOR_SIZES, DOC_VECTOR_WINDOWS, NGRAM_MIN_DF, NUM_LANDMARKS, RF_TREES, SVM_CS, SVM_GAMMAS,
                              SWEEP_CS, SWEEP_GAMMAS, WORD_VECTOR_SIZES, WORD_VECTOR_WINDOWS)
 from wordloom.session import scratch_path, table
 from wordloom.sources import writers as K
@@ -74,7 +75,7 @@ def m6_logistic_regression(spark, sf_dir):
 
 
 def _svm_rows(spark, sf_dir):
-    return svm.training_rows(_dense(spark, sf_dir), "features", "label_code", "fold", keep=("vec_id", "split"))
+    return training_rows(_dense(spark, sf_dir), "features", "label_code", "fold", keep=("vec_id", "split"))
 
 
 def _svm_predictions(rows, grid):
@@ -85,13 +86,14 @@ def _svm_predictions(rows, grid):
 def m8_linear_svm(spark, sf_dir):
     """Train, dev and test rows with the prediction of a linear SVM fitted on train."""
     d = _svm_rows(spark, sf_dir)
-    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "linear", 0.0, 1.0, NUM_RFF))
+    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "linear", 0.0, 1.0, NUM_LANDMARKS))
 
 
 @register("m9_rbf_svm")
 def m9_rbf_svm(spark, sf_dir):
+    """Predictions of an RBF machine (gamma 1, C 10): exact up to 512 training rows, else by 512 landmarks."""
     d = _svm_rows(spark, sf_dir)
-    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "rbf", 1.0, 10.0, NUM_RFF))
+    return _svm_predictions(d, svm.refit(d.filter("split = 'train'"), DIM, CLASSES, "rbf", 1.0, 10.0, 4 * NUM_LANDMARKS))
 
 
 @register("m10_folds", """
@@ -111,14 +113,16 @@ def m10_svm_grid_cv(spark, sf_dir):
     """35 settings x 5 folds, then the best setting refitted on all training rows: its accuracy on train, dev and test."""
     d = _svm_rows(spark, sf_dir)
     train = d.filter("split = 'train'")
-    cv = materialize(svm.grid_cv(train, DIM, CLASSES, SVM_GAMMAS, SVM_CS, NUM_RFF), "svm-grid")
-    best = svm.best_setting(cv)
+    cv = materialize(svm.grid_cv(train, DIM, CLASSES, SVM_GAMMAS, SVM_CS, NUM_LANDMARKS), "svm-grid")
+    best = best_setting(cv)
     setting = {c: best[c] for c in ("kernel", "gamma", "c")}
-    found = svm.predict(d, svm.refit(train, DIM, CLASSES, **setting, num_rff=NUM_RFF))
+    machine = svm.refit(train, DIM, CLASSES, **setting, landmarks=NUM_LANDMARKS)
+    found = svm.predict(d, machine)
     again = found.groupBy(F.col("split").alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
-    again = again.select(*[F.lit(v).alias(c) for c, v in setting.items()], F.concat(F.lit("refit "), "part").alias("part"), "n", "accuracy")
-    return cv.select("kernel", "gamma", "c", F.concat(F.lit("fold "), "fold").alias("part"), "n", "accuracy").unionByName(again)
+    again = again.select(*[F.lit(v).alias(c) for c, v in setting.items()], F.concat(F.lit("refit "), "part").alias("part"), "n", "accuracy",
+                         F.lit(float(machine.gaps[svm.ALL, 0].max())).alias("gap"))
+    return cv.select("kernel", "gamma", "c", F.concat(F.lit("fold "), "fold").alias("part"), "n", "accuracy", "gap").unionByName(again)
 
 
 @register("m11_random_forest_grid_cv")
@@ -140,7 +144,7 @@ def m12_parameter_sweep(spark, sf_dir):
     """24 settings (6 gammas x 4 Cs), accuracy on train and dev."""
     d = _svm_rows(spark, sf_dir)
     parts = {p: d.filter(F.col("split") == p) for p in ("train", "dev")}
-    return svm.sweep(parts["train"], parts, DIM, CLASSES, SWEEP_GAMMAS, SWEEP_CS, NUM_RFF)
+    return svm.sweep(parts["train"], parts, DIM, CLASSES, SWEEP_GAMMAS, SWEEP_CS, NUM_LANDMARKS)
 
 
 @register("k7_save_model")

@@ -60,6 +60,9 @@ SWEEP_CS = [1.0, 10.0, 100.0, 1000.0]
 # kernel's error falls with the square root of their number).
 NUM_RFF = 256
 
+# Landmarks of the Nyström features of kernel machines (our parameter: grids; single machines take four times as many).
+NUM_LANDMARKS = 128
+
 # Feature-set sweeps (sizes × windows) of the embedding scripts.
 WORD_VECTOR_SIZES = [300, 400, 500, 600, 700, 800, 900, 1000]
 WORD_VECTOR_WINDOWS = [5, 9, 11, 13, 17]
