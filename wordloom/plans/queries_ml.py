@@ -18,6 +18,7 @@ from wordloom.functions import tokens as T
 from wordloom.operators import classify as C
 from wordloom.operators import evaluate
 from wordloom.operators import alignment
+from wordloom.operators import forest
 from wordloom.operators import joint_vectors as J
 from wordloom.operators import kernel_svm as svm
 from wordloom.operators.ranking import materialize
@@ -127,13 +128,14 @@ def m10_svm_grid_cv(spark, sf_dir):
 
 @register("m11_random_forest_grid_cv")
 def m11_random_forest_grid_cv(spark, sf_dir):
-    """4 numbers of trees x 4 folds, then the best number refitted on all training rows: its accuracy on train, dev and test."""
+    """4 numbers of fully grown trees x 4 folds, then the best number refitted on all training rows: its accuracy on train, dev and test."""
     d = _dense(spark, sf_dir).withColumn("fold", F.pmod(F.floor(F.col("vec_id") / 10), F.lit(4)).cast("int"))
+    d = d.withColumn("features", vector_to_array("features"))
     train = d.filter("split = 'train'")
-    cv = materialize(C.random_forest_grid_cv(train, RF_TREES, CLASSES), "forest-grid")
+    cv = forest.grid_cv(train, RF_TREES, CLASSES, "vec_id")
     best = cv.groupBy("n_trees").agg(F.avg("accuracy").alias("a")).orderBy(F.col("a").desc(), "n_trees").first()["n_trees"]
-    models = C.fit_forests(train, C.forest_blocks([t for t in RF_TREES if t <= best]), CLASSES)
-    voted = C.forest_votes(d, models).select("split", (F.element_at("votes", -1) == F.col("label_code")).cast("double").alias("right"))
+    voted = forest.votes(d, forest.fit(train, best, CLASSES), [best], "vec_id").join(d.select("vec_id", "split", "label_code"), "vec_id")
+    voted = voted.select("split", (F.col("prediction") == F.col("label_code")).cast("double").alias("right"))
     again = voted.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy"))
     again = again.select(F.lit(best).alias("n_trees"), F.concat(F.lit("refit "), "split").alias("part"), "n", "accuracy")
     return cv.select("n_trees", F.concat(F.lit("fold "), "fold").alias("part"), "n", "accuracy").unionByName(again)
