@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import tokens as T
-from wordloom.operators import annotate, context, evaluate, pooling, shaping, vocab
+from wordloom.operators import annotate, context, evaluate, pooling, shaping, tagger, vocab
+from wordloom.operators.ranking import materialize
 from wordloom.operators.tokens import by_doc, explode_tokens, term_counts
 from wordloom.plans import fixtures as fx
 from wordloom.plans.oracle import WORD_RE, WS_LIST, context_cte, explode_sql, tb_list, treebank_sql, with_sql
@@ -548,6 +549,26 @@ def _tagged_tb(spark, sf_dir):
     return annotate.pos_tag(toks, fx.tag_lexicon(spark, sf_dir))
 
 
+@register("j8_tag_transitions", with_sql(["tag_lexicon", "tb"], f"""
+SELECT previous, tag, count(*)::BIGINT AS n FROM (
+  SELECT tag, coalesce(lag(tag) OVER (PARTITION BY doc_id, sentence ORDER BY pos), '') AS previous FROM (
+    SELECT doc_id, pos, tag, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (
+             PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence
+    FROM (SELECT t.doc_id, t.pos, t.word, {_RULE_TAG_SQL} AS tag FROM tb t LEFT JOIN tag_lexicon l USING (word))))
+GROUP BY 1, 2""", extra={"tb": _TB_LOWER}))
+def j8_tag_transitions(spark, sf_dir):
+    """How often a tag follows another within a sentence: the counts that the sequence tagger learns from."""
+    return tagger.transitions(_tagged_tb(spark, sf_dir))
+
+
+@register("j8_sequence_tags")
+def j8_sequence_tags(spark, sf_dir):
+    """Tokens of all documents with the tags of the sequence tagger, fitted on the lexicon's and rules' tags of the training documents."""
+    rows = materialize(_tagged_tb(spark, sf_dir), "tagged")
+    train = docs(spark, sf_dir).filter(fx.split_of("doc_id") == "train").select("doc_id")
+    return tagger.tag(rows.drop("tag"), tagger.fit(rows.join(train, "doc_id", "left_semi")))
+
+
 def _rewrite_sql(word_expr):
     return with_sql(["tag_lexicon", "tb"], f"""
 SELECT doc_id, string_agg({word_expr}, ' ' ORDER BY pos) AS text FROM (
