@@ -107,3 +107,31 @@ def test_whitespace_is_unicode(spark):
     text = "a\u00a0b\u2003c\u3000d\x1ce\x85f\u2028g\x0bh"
     assert one(spark, T.tokens_ws("text"), text) == text.split()
     assert one(spark, T.normalize_text("text"), text) == " ".join(text.split())
+
+
+def _every_rule(text, lower):
+    """The treebank chain with every rule tried on every text."""
+    t = F.lower(text) if lower else F.col(text)
+    t = F.concat(F.trim(F.regexp_replace(t, T.SPACE + "+", " ")), F.lit(" "))
+    for pattern, repl in T.TREEBANK_RULES:
+        t = F.regexp_replace(t, pattern, T._java_repl(repl))
+    return F.trim(F.regexp_replace(t, T.SPACE + "+", " "))
+
+
+def test_treebank_rules_are_skipped_without_effect(spark):
+    bits = ["Cannot", "CANİNOT", "d'ye", "gimme", "gonna", "Gotta", "lemme", "more'n", "wanna", "'tis", "'Twas so", "\"quoted\"", "a--b", "wait...",
+            "x: y", "1,2", "end:", "end,", "it's", "we'll", "don't ", "a   b", "\t\ttab", "(x) [y] {z} <w>", "50% & #1; @me $3", "so?", "No!", "U.S. x",
+            "dogs' tails", "", " ", ".", ":", " ", "\x1c\x1d \x1f", "cannot gonna."]
+    rows = [(i, t) for i, t in enumerate([a + s + b for a in bits for b in bits for s in ("", " ")] + [None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for lower in (True, False):
+        out = df.select("text", T.treebank_text("text", lower).alias("got"), _every_rule("text", lower).alias("want"))
+        assert out.filter(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_treebank_rules_ask_for_their_literal_first(spark, capsys):
+    """Two dozen patterns over every text took most of the time of all queries that read treebank text."""
+    spark.range(1).select(F.col("id").cast("string").alias("text")).select(T.treebank_text("text")).explain()
+    plan = capsys.readouterr().out
+    for literal in ("cannot", "gonna", "more'n", "--"):
+        assert f", {literal}) THEN regexp_replace(" in plan, literal

@@ -6,6 +6,8 @@ they stay inside whole-stage code generation and never call Python per row.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ WORD_CLASS = r"[\p{L}\p{N}_]"
 # Written so that both engines read it.
 SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
+# Runs of SPACE but a lone space, which one space would replace.
+_SPACES = f"{SPACE.replace('-' + chr(92) + 'x20', '-' + chr(92) + 'x1F')}{SPACE}*| {SPACE}+"
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -91,15 +96,53 @@ def _java_repl(r: str) -> str:
     return "".join(out)
 
 
+# What a rule of TREEBANK_RULES takes, in lower case, where that is a fixed string.
+_LITERALS = {
+    r"\.\.\.": ["..."], r"([^'])' ": ["' "], "--": ["--"], '"': ['"'],
+    r"([^' ])('s|'m|'d|') ": ["'"], r"([^' ])('ll|'re|'ve|n't) ": ["'"],
+    r"(?i)\b(can)(not)\b": ["cannot"], r"(?i)\b(d)('ye)\b": ["d'ye"], r"(?i)\b(gim)(me)\b": ["gimme"],
+    r"(?i)\b(gon)(na)\b": ["gonna"], r"(?i)\b(got)(ta)\b": ["gotta"], r"(?i)\b(lem)(me)\b": ["lemme"],
+    r"(?i)\b(more)('n)\b": ["more'n"], r"(?i)\b(wan)(na)\b": ["wanna"], r"(?i) ('t)(is)\b": [" 'tis"], r"(?i) ('t)(was)\b": [" 'twas"],
+}
+# Without one of these, only the rules below and contractions without an apostrophe change a text.
+_SPECIAL = r"""["';@#$%&?!\[\](){}<>]|--|\.\.\."""
+_PLAIN_RULES = [r"([:,])([^0-9])", r"([:,])$", r"([^.])(\.)(\s|$)"]
+
+
+def _bound(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` worked out once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _rule(pattern: str, repl: str, lower: bool):
+    def apply(t):
+        changed = F.regexp_replace(t, pattern, _java_repl(repl))
+        if pattern == r"([:,])$":
+            return F.when(F.endswith(t, F.lit(":")) | F.endswith(t, F.lit(",")), changed).otherwise(t)
+        if pattern not in _LITERALS:
+            return changed
+        seen = t if lower or not pattern.startswith("(?i)") else F.lower(t)
+        return F.when(functools.reduce(Column.__or__, [F.contains(seen, F.lit(v)) for v in _LITERALS[pattern]]), changed).otherwise(t)
+    return apply
+
+
+def _apply_rules(t: Column, rules, lower: bool) -> Column:
+    return functools.reduce(lambda x, r: _bound(x, _rule(*r, lower)), rules, t)
+
+
 def treebank_text(text, lower: bool = True) -> Column:
-    """T4 as text: the tokenizer's output joined by single spaces."""
+    """T4 as text: the tokenizer's output joined by single spaces.
+
+    A rule that needs a fixed string is tried on texts that hold it, and texts
+    without special characters skip all rules for those.
+    """
     t = _col(text)
     if lower:
         t = F.lower(t)
-    t = F.concat(F.trim(F.regexp_replace(t, SPACE + "+", " ")), F.lit(" "))
-    for pattern, repl in TREEBANK_RULES:
-        t = F.regexp_replace(t, pattern, _java_repl(repl))
-    return F.trim(F.regexp_replace(t, SPACE + "+", " "))
+    t = F.concat(F.trim(F.regexp_replace(t, _SPACES, " ")), F.lit(" "))
+    plain = [r for r in TREEBANK_RULES if r[0] in _PLAIN_RULES or (r[0] in _LITERALS and all(v.isalpha() for v in _LITERALS[r[0]]))]
+    t = _bound(t, lambda x: F.when(F.rlike(x, F.lit(_SPECIAL)), _apply_rules(x, TREEBANK_RULES, lower)).otherwise(_apply_rules(x, plain, lower)))
+    return F.trim(F.regexp_replace(t, " {2,}", " "))    # spaces are all that is left of SPACE
 
 
 def tokens_treebank(text, lower: bool = True) -> Column:
