@@ -88,7 +88,7 @@ def test_weight_join_in_chunks(spark, large):
 def test_contexts_in_chunks_match_the_plain_join(spark, monkeypatch):
     d = spark.createDataFrame([(1, "a b c a b c a"), (2, "a b q b a c b a"), (3, "a b")], "doc_id long, text string")
     cv = spark.createDataFrame([(o, w, [float(o), float(ord(w))]) for o in (-1, 1) for w in "abc"], "offset int, word string, embedding array<float>")
-    toks = explode_tokens(by_doc(d), T.tokens_ws("text"))
+    toks = explode_tokens(by_doc(d.union(d.filter("doc_id = 2"))), T.tokens_ws("text"))      # a document in two equal rows
 
     def found():
         return (rows(context.position_vectors(toks, cv, 2)), rows(context.valid_positions(toks, cv, 2)),
