@@ -114,3 +114,20 @@ def test_partitions_by_document_grow_with_the_text(spark):
 
     assert parts(1) <= spark.sparkContext.defaultParallelism
     assert parts(80) >= 80 * (1 << 20) * 0.95 / chunks.TEXT_BYTES
+
+
+def test_context_sums_keep_vectors_apart_from_tokens(spark, monkeypatch, capsys):
+    """Each token's row used to carry all vectors of its word through a window's sort."""
+    from wordloom.operators import context
+    words = [(None, i, "aa") for i in range(6)] + [(1, i, w) for i, w in enumerate(["aa", "bb", "aa", "bb", "aa", None, "aa"])] + [(2, i, "aa") for i in range(3)]
+    toks = spark.createDataFrame(words, "doc_id long, pos int, word string")
+    vectors = spark.createDataFrame([(o, w, [float(i + o), 1.5]) for i, w in enumerate(["aa", "bb"]) for o in (-1, 1)] + [(1, "aa", [0.25, 0.5]), (3, "aa", [9.0, 9.0])],
+                                    "offset int, word string, embedding array<float>")
+    plain = {how: sorted(map(str, context.context_doc_vectors(toks, vectors, 2, how).collect())) for how in ("sum", "mean")}
+    monkeypatch.setattr(chunks, "SMALL", 0)
+    for how, rows in plain.items():
+        got = context.context_doc_vectors(toks, vectors, 2, how, chunks=3)
+        assert sorted(map(str, got.collect())) == rows
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "FlatMapCoGroupsInArrow" in plan
